@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.token_blocks import read_blocks, shared_path, write_blocks
+from sylvaflow.llm.near_dup import near_duplicates
+from sylvaflow.llm.tables import shared_path
+from sylvaflow.llm.token_blocks import read_blocks, write_blocks
 from sylvaflow.llm.token_counts import token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, limit=1024)
 
@@ -26,5 +32,5 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op9_token_blocks)}
+QUERIES = {f.__name__: f for f in (op2_near_dup, op6_token_counts, op9_token_blocks)}
 ORACLE_SQL: dict[str, str] = {}

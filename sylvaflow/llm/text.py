@@ -89,10 +89,15 @@ class Words:
         self.first = np.searchsorted(self.start, self.rows)
         table = _LOWER if lower else _BYTE
         with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(table[data] * _powers("up", _R, len(data)), out=total[1:])
-            part = (total[self.end] - total[self.start]) * _powers("down", _R_INV, len(data) + 1)[self.start]
-            self.hash = mix(part + np.uint64(0x51ED270B) * (self.end - self.start).astype(np.uint64))
+            self._total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * _powers("up", _R, len(data)), out=self._total[1:])
+        self.hash = self.spans(self.start, self.end)
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, equal for equal bytes."""
+        with np.errstate(over="ignore"):
+            part = (self._total[end] - self._total[start]) * _powers("down", _R_INV, len(self.data) + 1)[start]
+            return mix(part + np.uint64(0x51ED270B) * (end - start).astype(np.uint64))
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")

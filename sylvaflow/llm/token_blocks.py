@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -144,11 +143,3 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     read = stored.mapInArrow(documents, READ)
     return read.join(places, ["part", "seq"]).select("doc_id", (F.col("segment_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir, else one set here)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = chosen.get() if chosen.isDefined() else "/tmp/checkpoints"
-    return f"{folder}/{name}-{uuid4().hex}"
