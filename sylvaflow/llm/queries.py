@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaflow.llm.near_dup import near_duplicates
+from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
 from sylvaflow.llm.token_blocks import read_blocks, write_blocks
 from sylvaflow.llm.token_counts import token_counts
@@ -26,11 +27,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, limit=1024)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(_table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "quality.*")
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-blocks")
     write_blocks(_table(spark, sf_dir, "documents"), VOCABULARY, path)
     return read_blocks(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op6_token_counts, op9_token_blocks)}
+QUERIES = {f.__name__: f for f in (op2_near_dup, op6_token_counts, op8_quality_rules, op9_token_blocks)}
 ORACLE_SQL: dict[str, str] = {}
