@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvaflow.llm.decontaminate import leaks
 from sylvaflow.llm.near_dup import near_duplicates
 from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=0.8)
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -38,5 +43,5 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_dup, op6_token_counts, op8_quality_rules, op9_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op6_token_counts, op8_quality_rules, op9_token_blocks)}
 ORACLE_SQL: dict[str, str] = {}
