@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaflow.llm.decontaminate import leaks
+from sylvaflow.llm.html_text import main_text
 from sylvaflow.llm.near_dup import near_duplicates
 from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
@@ -32,6 +33,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, limit=1024)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.array_join("blocks", " ")
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality(_table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", "quality.*")
@@ -43,5 +49,5 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op6_token_counts, op8_quality_rules, op9_token_blocks)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks)}
 ORACLE_SQL: dict[str, str] = {}
