@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from sylvaflow.llm.decontaminate import leaks
 from sylvaflow.llm.html_text import main_text
+from sylvaflow.llm.mixing import DOMAINS, mixing_rates
 from sylvaflow.llm.near_dup import near_duplicates
 from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
 from sylvaflow.llm.token_blocks import read_blocks, write_blocks
 from sylvaflow.llm.token_counts import token_counts
 
+#: Shares of the tokens that each domain shall have.
+WEIGHTS = {"good": 0.93, "low": 0.06, "toxic": 0.01}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -49,5 +52,10 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_blocks(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), WEIGHTS)
+    return found.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
