@@ -136,8 +136,9 @@ def _rate(posterior: Column, steps: list[list[float]]) -> Column:
 
 def solve(members: DataFrame, weights: dict[str, float], total: float | None = None) -> list[list[float]]:
     """Steps to the rates of members(n_tokens, posterior). Domains without weight have target 0, and
-    domains without expected tokens are left out. total: tokens wanted; None: as many as possible
-    without a domain's own rate above 1."""
+    domains without expected tokens are left out. total: tokens wanted. None: no text is to be repeated;
+    the domain of the greatest weight keeps all its tokens, the others get theirs in proportion, and one
+    that has fewer gives all it has."""
     k = len(DOMAINS)
     steps: list[list[float]] = []
     p = F.col("posterior")
@@ -155,8 +156,8 @@ def solve(members: DataFrame, weights: dict[str, float], total: float | None = N
             if not share.sum():
                 return steps
             share = share / share.sum()
-            wanted = total if total is not None else min(now[i] / share[i] for i in range(k) if share[i] > 0)
-            target = share * wanted
+            first = int(share.argmax())
+            target = share * total if total is not None else np.minimum(share * now[first] / share[first], now)
         if len(steps) >= STEPS or np.abs(now - target).max() <= TOLERANCE * max(target.sum(), 1.0):
             return steps
         ridge = 1e-9 * max(np.trace(m), 1e-9) * np.eye(k)
