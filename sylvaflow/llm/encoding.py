@@ -9,6 +9,7 @@ sides, or a special token's marker) go to the library whole.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from sylvaflow.llm.text import as_strings
 
 #: Distinct pieces whose ids a worker keeps; beyond it the store starts anew.
 CACHE_PIECES = 1_500_000
+#: Marks that are one pre-token after letters.
+TAIL = ".,!?:;%*&$#"
 _BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"
 UNSAFE = rf"{_BLANK} (?:{_BLANK}|$)|^ (?:{_BLANK}|$)|<\|"
 
@@ -33,27 +36,55 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        flat = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         have = len(self.known)
-        need = have + len(pieces) + 1
+        need = have + len(names) + 1
         if need > len(self.at):
             self.at = np.concatenate([self.at, np.zeros(max(need, len(self.at)), np.int64)])
         np.cumsum(sizes, out=self.at[have + 1 : need])
         self.at[have + 1 : need] += self.used
-        total = int(self.at[need - 1])
+        total = self.used + len(ids)
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-        self.ids[self.used : total] = np.fromiter((i for ids in flat for i in ids), np.uint32, total - self.used)
+        self.ids[self.used : total] = ids
         self.used = total
-        self.known.update(zip(pieces, range(have, have + len(pieces))))
+        self.known.update(zip(names, range(have, have + len(names))))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Letters and the punctuation after them are two pre-tokens, so of "word," the ids are those
+        of "word" and of ","; only what can't be put together so is encoded."""
+        plain: dict[str, None] = {}
+        joined, stems, tails = [], [], []
+        for piece in pieces:
+            stem = piece.rstrip(TAIL)
+            if len(stem) < len(piece) and stem[stem[:1] == " " :].isalpha():
+                joined.append(piece)
+                stems.append(stem)
+                tails.append(piece[len(stem) :])
+            else:
+                plain[piece] = None
+        plain |= dict.fromkeys(x for part in (stems, tails) for x in part if x not in self.known)
+        if plain:
+            flat = [e.ids for e in self.tokenizer.encode_batch_fast(list(plain), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+            self._store(list(plain), np.fromiter(chain.from_iterable(flat), np.uint32, int(sizes.sum())), sizes)
+        if joined:
+            both = np.empty(2 * len(joined), np.int64)
+            both[::2] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(joined))
+            both[1::2] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(joined))
+            source, sizes = self._gather(both)
+            self._store(joined, self.ids[source], sizes.reshape(-1, 2).sum(1))
+
+    def _gather(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ids of stored pieces, one after another, and how many each has."""
+        size = self.at[piece + 1] - self.at[piece]
+        end = np.cumsum(size)
+        return np.repeat(self.at[piece] - (end - size), size) + np.arange(end[-1] if len(end) else 0), size
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Store number of every piece, and the first piece of each row."""
@@ -69,7 +100,7 @@ class Encoder:
         later = np.unique(index[~lead]) if len(index) else index[:0]
         whole = texts.filter(odd).to_pylist()
         names = [words[i] for i in head] + [" " + words[i] for i in later] + whole
-        if len(self.known) + len(names) > CACHE_PIECES:
+        if len(self.known) + 2 * len(names) > CACHE_PIECES:
             self.clear()
         if new := [w for w in dict.fromkeys(names) if w not in self.known]:
             self._learn(new)
@@ -94,11 +125,9 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         piece, first = self._pieces(texts)
-        size = self.at[piece + 1] - self.at[piece]
-        end = np.cumsum(size)
-        source = np.repeat(self.at[piece] - (end - size), size) + np.arange(end[-1])
+        source, size = self._gather(piece)
         start = np.zeros(len(texts) + 1, np.int64)
-        start[1:] = end[first[1:] - 1]
+        start[1:] = np.cumsum(size)[first[1:] - 1]
         return self.ids[source], start
 
 

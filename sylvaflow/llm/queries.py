@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylvaflow.llm.decontaminate import leaks
 from sylvaflow.llm.html_text import main_text
+from sylvaflow.llm.lm_score import cross_entropy_difference, target_documents
 from sylvaflow.llm.mixing import DOMAINS, mixing_rates
 from sylvaflow.llm.near_dup import near_duplicates
 from sylvaflow.llm.quality import quality
@@ -32,6 +33,11 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return cross_entropy_difference(docs, target_documents(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), VOCABULARY, limit=1024)
 
@@ -57,5 +63,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
