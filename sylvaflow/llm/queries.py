@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from sylvaflow.llm.decontaminate import leaks
 from sylvaflow.llm.html_text import main_text
+from sylvaflow.llm.licenses import license_scan
 from sylvaflow.llm.lm_score import cross_entropy_difference, target_documents
 from sylvaflow.llm.mixing import DOMAINS, mixing_rates
 from sylvaflow.llm.near_dup import near_duplicates
+from sylvaflow.llm.pii import with_surrogates
 from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
 from sylvaflow.llm.token_blocks import read_blocks, write_blocks
@@ -33,6 +35,15 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key of these queries")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"), least=0.9)
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return cross_entropy_difference(docs, target_documents(docs, _table(spark, sf_dir, "labels")))
@@ -63,5 +74,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_surrogates, op4_license_scan, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
