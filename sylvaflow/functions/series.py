@@ -29,20 +29,43 @@ def statistics(value: Column, prefix: str = "") -> list[Column]:
     return [parts[n].alias(f"{prefix}{n}") for n in STATISTICS]
 
 
-def array_statistics(v: Column, prefix: str = "") -> list[Column]:
-    """The nine statistics of an array."""
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def array_statistics(v: Column) -> Column:
+    """The nine statistics of an array's values, as a struct."""
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+
+        def quantile(p: float) -> Column:
+            h = (n - 1) * F.lit(p)
+            at = F.floor(h).cast("int")
+            low = F.try_element_at(own, at + 1)
+            return F.when(n > 0, low + (h - at) * (F.coalesce(F.try_element_at(own, at + 2), low) - low))
+
+        def with_mean(m: Column) -> Column:
+            spread = F.aggregate(own, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+            low, high = F.try_element_at(own, F.lit(1)), F.try_element_at(own, n)
+            parts = {"mean": m, "sd": F.when(n > 1, F.sqrt(spread / (n - 1))), "min": low, "max": high, "range": high - low, "median": quantile(0.5), "q25": quantile(0.25), "q75": quantile(0.75)}
+            return F.struct(*(c.alias(k) for k, c in parts.items()))
+
+        return let(mean(own), with_mean)
+
     own = F.array_sort(F.filter(v, lambda x: x.isNotNull()))
+    return let(F.when(F.size(own) > 0, own), of)
 
-    def quantile(p: float) -> Column:
-        h = (F.size(own) - 1) * F.lit(p)
-        at = F.floor(h).cast("int")
-        low = F.try_element_at(own, at + 1)
-        return F.when(F.size(own) > 0, low + (h - at) * (F.coalesce(F.try_element_at(own, at + 2), low) - low))
 
-    m = mean(own)
-    sd = F.when(F.size(own) > 1, F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(own) - 1)))
-    parts = {"mean": m, "sd": sd, "min": F.array_min(own), "max": F.array_max(own), "range": F.array_max(own) - F.array_min(own), "median": quantile(0.5), "q25": quantile(0.25), "q75": quantile(0.75), "iqr": quantile(0.75) - quantile(0.25)}
-    return [parts[n].alias(f"{prefix}{n}") for n in STATISTICS]
+def with_statistics(frame: DataFrame, arrays: dict[str, Column]) -> DataFrame:
+    """frame with the nine statistics of each array, their names after its prefix. Null of an empty array."""
+    out = frame.withColumns({f"_s{k}": array_statistics(c) for k, c in enumerate(arrays.values())})
+    got = {}
+    for k, prefix in enumerate(arrays):
+        s = F.col(f"_s{k}")
+        got |= {f"{prefix}{n}": s["q75"] - s["q25"] if n == "iqr" else s[n] for n in STATISTICS}
+    return out.withColumns(got).drop(*(f"_s{k}" for k in range(len(arrays))))
 
 
 def date_grid(year: int, days: int = 5) -> Column:
@@ -183,13 +206,18 @@ def with_phenology(frame: DataFrame, t: str = "t", v: str = "v", prefix: str = "
 def phenotype(t: Column, v: Column) -> Column:
     """evergreen, deciduous or semi_deciduous by variation and summer to winter ratio; null where a season is empty."""
     own = F.filter(F.arrays_zip(t.alias("t"), v.alias("v")), lambda p: p["v"].isNotNull())
-    values = F.transform(own, lambda p: p["v"])
-    winter = mean(F.transform(F.filter(own, lambda p: (p["t"] <= 59) | (p["t"] >= 335)), lambda p: p["v"]))
-    summer = mean(F.transform(F.filter(own, lambda p: (p["t"] >= 152) & (p["t"] <= 243)), lambda p: p["v"]))
-    m = mean(values)
-    cv = F.try_divide(F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (F.size(values) - 1)), m)
-    ratio = F.when(winter > 0.05, summer / winter).when(winter.isNotNull(), F.lit(float("inf")))
-    return F.when(cv.isNull() | ratio.isNull(), F.lit(None).cast("string")).when((cv < 0.10) & (ratio < 1.3), "evergreen").when((cv > 0.25) | (ratio > 2.0), "deciduous").otherwise("semi_deciduous")
+    def of(own: Column) -> Column:
+        season = lambda test: mean(F.transform(F.filter(own, lambda p: test(p["t"])), lambda p: p["v"]))
+        m = mean(F.transform(own, lambda p: p["v"]))
+        return F.struct(m.alias("m"), season(lambda d: (d <= 59) | (d >= 335)).alias("w"), season(lambda d: (d >= 152) & (d <= 243)).alias("s"), own.alias("own"))
+
+    def label(x: Column) -> Column:
+        m = x["m"]
+        cv = F.try_divide(F.sqrt(F.aggregate(x["own"], F.lit(0.0), lambda s, p: s + (p["v"] - m) * (p["v"] - m)) / (F.size(x["own"]) - 1)), m)
+        ratio = F.when(x["w"] > 0.05, x["s"] / x["w"]).when(x["w"].isNotNull(), F.lit(float("inf")))
+        return let(F.struct(cv.alias("cv"), ratio.alias("r")), lambda y: F.when(y["cv"].isNull() | y["r"].isNull(), F.lit(None).cast("string")).when((y["cv"] < 0.10) & (y["r"] < 1.3), "evergreen").when((y["cv"] > 0.25) | (y["r"] > 2.0), "deciduous").otherwise("semi_deciduous"))
+
+    return let(let(own, of), label)
 
 
 def to_series(frame: DataFrame, keys: list[str], t: str, v: str) -> DataFrame:

@@ -97,8 +97,7 @@ def feature_matrix(wide: DataFrame, bands: list[str], key: str = "plot_id", date
         plots = plots.withColumns({f"s_{n}": F.transform(zipped, f) for n, f in formula.items()})
         names += list(formula)
     out = [F.col(key), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in terrain)]
-    for n in names:
-        out += series.array_statistics(F.col(f"s_{n}"), f"{n}_")
+    arrays = {f"{n}_": F.col(f"s_{n}") for n in names}
     if "NDVI" in names:
         doy = F.transform("at", lambda d: d + 1)
         plots = series.with_phenology(plots.withColumn("doy", doy), "doy", "s_NDVI")
@@ -106,13 +105,13 @@ def feature_matrix(wide: DataFrame, bands: list[str], key: str = "plot_id", date
         out += series.fourier(F.col("s_NDVI"), prefix="NDVI_fourier_")
     if {"S1_VV", "S1_VH"} <= set(bands):
         both = F.arrays_zip(F.col("s_S1_VV").alias("vv"), F.col("s_S1_VH").alias("vh"))
-        for n in ("ratio", "RVI"):
-            out += series.array_statistics(F.transform(both, _radar(n)), f"S1_{n}_")
+        arrays |= {f"S1_{n}_": F.transform(both, _radar(n)) for n in ("ratio", "RVI")}
         out += series.quarter_means(F.col("s_S1_VH"), "S1_VH_")
     if by_date:
         days = [1 + 5 * k for k in range(73)]
         out += [F.try_element_at(F.col(f"s_{n}"), F.lit(k + 1)).alias(f"{n}_d{d:03d}") for n in names for k, d in enumerate(days)]
-    return plots.select(*out)
+    plots = series.with_statistics(plots, arrays)
+    return plots.select(*out, *(f"{p}{n}" for p in arrays for n in series.STATISTICS))
 
 
 def valid_series(long: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:

@@ -140,8 +140,8 @@ def fourier_features(spark, sf_dir):
 
 @query(f"""WITH s AS ({POINTS}), q AS (SELECT vec_id, avg(v) FILTER (WHERE i <= 16) AS q1, avg(v) FILTER (WHERE i BETWEEN 17 AND 32) AS q2, avg(v) FILTER (WHERE i BETWEEN 33 AND 48) AS q3, avg(v) FILTER (WHERE i > 48) AS q4, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q25, median(v) AS median FROM s GROUP BY 1) SELECT vec_id, round(q1, 6) AS S1_VH_q1, round(q2, 6) AS S1_VH_q2, round(q3, 6) AS S1_VH_q3, round(q4, 6) AS S1_VH_q4, round(q2 - q4, 6) AS S1_VH_summer_winter, round(mean, 6) AS mean, round(sd, 6) AS sd, round(q25, 6) AS q25, round(median, 6) AS median FROM q""")
 def radar_series(spark, sf_dir):
-    own = [c for c, n in zip(series.array_statistics(F.col("v")), series.STATISTICS) if n in ("mean", "sd", "q25", "median")]
-    return r6(vectors(spark, sf_dir).select("vec_id", *series.quarter_means(F.col("v"), "S1_VH_"), *own))
+    x = series.with_statistics(vectors(spark, sf_dir), {"": F.col("v")})
+    return r6(x.select("vec_id", *series.quarter_means(F.col("v"), "S1_VH_"), "mean", "sd", "q25", "median"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_type, ts::DATE AS date, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts::DATE, value, event_id) AS k FROM events), w AS (SELECT user_id, event_type, date, value, k, date AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.date, o.value, o.k, CASE WHEN date_diff('day', w.last, o.date) >= 10 THEN o.date ELSE w.last END, date_diff('day', w.last, o.date) >= 10 FROM w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.k = w.k + 1) SELECT user_id, event_type, date, value FROM w WHERE kept""")
