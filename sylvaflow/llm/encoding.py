@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from sylvaflow.llm.text import as_strings
 
 #: Distinct pieces whose ids a worker keeps; beyond it the store starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 600_000
 #: Marks that are one pre-token after letters.
 TAIL = ".,!?:;%*&$#"
 _BLANK = r"[\s\v\x1c-\x1f\x{85}\p{Z}]"

@@ -23,6 +23,8 @@ from sylvaflow.llm.text import by_bytes
 BLOCK = 512
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 95
+#: Blocks whose bits are spread out at once.
+AT_ONCE = 128
 SEGMENTS = (
     "part int, seq int, doc_ids array<long>, doc_sizes array<int>, n_ids long, "
     "base array<int>, width array<int>, at array<int>, exceptions array<int>, payload binary"
@@ -30,6 +32,14 @@ SEGMENTS = (
 READ = "doc_id long, part int, seq int, nth int, offset long, n_tokens long, ids_crc32 long"
 
 
+def _equal(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Widths with the blocks that have them, AT_ONCE at most, as single bits take a byte or more in between."""
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        for k in range(0, len(rows), AT_ONCE):
+            yield int(w), rows[k : k + AT_ONCE]
+
+
 def pack(ids: np.ndarray) -> dict:
     """Blocks of uint32 ids: base, width, at (first byte of each block, and the end), exceptions, payload."""
     n = -(-len(ids) // BLOCK)
@@ -43,8 +53,7 @@ def pack(ids: np.ndarray) -> dict:
     width = np.ceil(np.log2(cut.astype(np.float64) + 1)).astype(np.int64)
     chunks: list[bytes] = [b""] * n
     exceptions = np.zeros(n, np.int64)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
+    for w, rows in _equal(width):
         values = grid[rows]
         if w:
             bits = (values[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
@@ -66,8 +75,7 @@ def unpack(n_ids: int, base, width, at, exceptions, payload: bytes) -> np.ndarra
     base, width, at, exceptions = (np.asarray(x, np.int64) for x in (base, width, at, exceptions))
     data = np.frombuffer(payload, np.uint8)
     grid = np.zeros((len(base), BLOCK), np.uint32)
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
+    for w, rows in _equal(width):
         if w:
             size = BLOCK * int(w) // 8
             packed = data[at[rows][:, None] + np.arange(size)]
@@ -83,7 +91,7 @@ def unpack(n_ids: int, base, width, at, exceptions, payload: bytes) -> np.ndarra
     return (grid + base.astype(np.uint32)[:, None]).reshape(-1)[:n_ids]
 
 
-def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_bytes: int = 4 << 20) -> None:
+def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_bytes: int = 1 << 20) -> None:
     """Writes docs(doc_id, text) to `path`, in ascending doc_id over files and within them.
 
     Documents are dealt out by ranges of (doc_id, text), sorted, encoded and packed; a null
