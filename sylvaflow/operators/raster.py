@@ -31,13 +31,16 @@ def combine_masks(a: DataFrame, b: DataFrame, keys: list[str], how: str = "and")
 
 
 def focal_mean(grid: DataFrame, value: str = "value", size: int = 11) -> DataFrame:
-    """grid(row, col, value) with `focal`, the mean of present cells in a size x size window."""
+    """grid(row, col, value) with `focal`, the mean of present cells in a size x size window. Each cell adds to
+    the sums of its line's neighbours, also where no cell is; sums are combined before the shuffle."""
     half = size // 2
-    along = lambda line, at: Window.partitionBy(line).orderBy(at).rangeBetween(-half, half)
-    first = grid.withColumns({"_s": F.sum(value).over(along("row", "col")), "_n": F.count(value).over(along("row", "col"))})
-    # a row without a cell at a column has no partial sum there, so rows are summed per column of present cells only
-    out = first.withColumns({"_s": F.sum("_s").over(along("col", "row")), "_n": F.sum("_n").over(along("col", "row"))})
-    return out.withColumn("focal", F.try_divide("_s", "_n")).drop("_s", "_n")
+    near = grid.filter(F.col(value).isNotNull()).select("row", F.explode(F.sequence(F.col("col") - half, F.col("col") + half)).alias("col"), F.col(value).alias("_v"))
+    sums = near.groupBy("row", "col").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
+    # a cell without a sum in its own row still needs its column's window
+    sums = sums.join(grid.select("row", "col"), ["row", "col"], "full").fillna({"_s": 0.0, "_n": 0})
+    line = Window.partitionBy("col").orderBy("row").rangeBetween(-half, half)
+    focal = sums.withColumn("focal", F.try_divide(F.sum("_s").over(line), F.sum("_n").over(line))).select("row", "col", "focal")
+    return grid.join(focal, ["row", "col"])
 
 
 def position_index(grid: DataFrame, value: str = "value", size: int = 11) -> DataFrame:
@@ -46,13 +49,12 @@ def position_index(grid: DataFrame, value: str = "value", size: int = 11) -> Dat
 
 
 def slope_aspect(grid: DataFrame, value: str = "value", resolution: float = 10.0) -> DataFrame:
-    """grid(row, col, value), complete lines: slope and aspect in degrees from the eight neighbours (Horn's
-    weights); null at the border."""
-    line = Window.partitionBy("row").orderBy("col")
-    column = Window.partitionBy("col").orderBy("row")
-    side = grid.withColumns({"_w": F.lag(value).over(line), "_e": F.lead(value).over(line)})
+    """grid(row, col, value): slope and aspect in degrees from the eight neighbours (Horn's
+    weights); null where a neighbour is missing."""
+    at = lambda c, line, by, d: F.first(c).over(Window.partitionBy(line).orderBy(by).rangeBetween(d, d))
+    side = grid.withColumns({"_w": at(value, "row", "col", -1), "_e": at(value, "row", "col", 1)})
     side = side.withColumns({"_dx": F.col("_e") - F.col("_w"), "_sy": F.col("_w") + 2 * F.col(value) + F.col("_e")})
-    full = side.withColumns({"_up": F.lag(F.struct("_dx", "_sy")).over(column), "_down": F.lead(F.struct("_dx", "_sy")).over(column)})
+    full = side.withColumns({"_up": at(F.struct("_dx", "_sy"), "col", "row", -1), "_down": at(F.struct("_dx", "_sy"), "col", "row", 1)})
     dx = (F.col("_up._dx") + 2 * F.col("_dx") + F.col("_down._dx")) / (8 * resolution)
     dy = (F.col("_down._sy") - F.col("_up._sy")) / (8 * resolution)
     slope = F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
