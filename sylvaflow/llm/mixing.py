@@ -136,7 +136,7 @@ def _rate(posterior: Column, steps: list[list[float]]) -> Column:
 
 def solve(members: DataFrame, weights: dict[str, float], total: float | None = None) -> list[list[float]]:
     """Steps to the rates of members(n_tokens, posterior). Domains without weight have target 0, and
-    domains without expected tokens are left out. total: tokens wanted. None: no text is to be repeated;
+    domains without expected tokens are left out. total: tokens wanted. None: no domain is to grow;
     the domain of the greatest weight keeps all its tokens, the others get theirs in proportion, and one
     that has fewer gives all it has."""
     k = len(DOMAINS)
@@ -177,12 +177,13 @@ def _members(docs: DataFrame, model: Classifier) -> DataFrame:
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None) -> DataFrame:
     """doc_id, n_tokens (words), posterior (of DOMAINS), rate of every row of docs(doc_id, text).
 
-    Null and empty texts have no tokens; their rate is that of their posterior and moves no total.
+    Null and empty texts have no tokens and move no total; their rate is 1.
     Rows without doc_id or with one that repeats are rated each. Empty tables give an empty result;
     without usable labels all posteriors are equal. Other columns are ignored.
     """
     members = _members(docs, fit_classifier(docs, labels))
-    return members.withColumn("rate", _rate(F.col("posterior"), solve(members, weights, total)))
+    rate = _rate(F.col("posterior"), solve(members, weights, total))
+    return members.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, seed: int = 11) -> DataFrame:
@@ -197,10 +198,11 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total:
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                _, p = model.posteriors(part.column("text"))
+                counts, p = model.posteriors(part.column("text"))
                 rate = np.ones(len(p))
                 for d in steps:
                     rate = np.maximum(0.0, rate - p @ np.array(d))
+                rate[counts == 0] = 1.0
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rate)], [*part.schema.names, name])
 
     rows = docs.mapInArrow(rated, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
