@@ -74,6 +74,20 @@ def test_near_duplicates_are_those_of_all_pairs(spark, texts):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
+def test_copies_that_link_only_to_their_original_are_found(spark):
+    rng = np.random.default_rng(5)
+    original = [f"w{k}" for k in range(200)]
+    rows = [(2000, " ".join(original))]
+    for i in range(1000):  # 181 of 211 shingles are shared with the original, about 166 of 226 with each other
+        words = list(original)
+        for k in (rng.integers(5, 60), rng.integers(70, 125), rng.integers(135, 190)):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(3000 + i, " ".join(original[:100] + [f"y{i}-{k}" for k in range(100)])) for i in range(100)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: 0 if i <= 2000 else i for i, _ in rows}
+
+
 def test_token_counts_and_blocks_are_the_librarys(spark, texts):
     from tokenizers import Tokenizer
 
