@@ -7,6 +7,12 @@ differs by RADIUS // BLOCKS bits at most, so an index of the items' blocks with
 misses none. Each candidate's item-sized window is then compared with the item exactly, as
 weighted sets of shingles (weight: number of occurrences): sum of minima / sum of maxima.
 
+A window at the threshold is often further away than RADIUS, so the fingerprints alone lose some.
+What they lose comes by windows of one shingle: of two weighted sets of similarity `least`, one
+with n shingles, at least least * n are shared, so of any n - ceil(least * n) + 1 shingles of an item
+one is in the window. Those rarest among the items are indexed, and of a text that has one, all
+windows of the item's size that hold enough of its shingles are compared. So none is lost.
+
 Benchmark items go to the tasks in slices of SLICE bytes of text, and each slice passes over the
 documents, so what is broadcast is bounded at any benchmark size. Documents are never shuffled.
 """
@@ -57,7 +63,7 @@ def fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
 class ItemIndex:
     """The items of a slice: their shingles, and per window size the multi-index of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], least: float = 0.8):
         items = [(i, t) for i, t in items if i is not None and t]
         words = Words(pa.array([t for _, t in items], pa.string()))
         values, first = shingles(words.hash, words.first)
@@ -76,6 +82,16 @@ class ItemIndex:
             for offset in {0, len(own) - size}:
                 by_size.setdefault(size, []).append((k, offset, int(marks[offset])))
         self.lengths = np.diff(first)
+        self.own = [np.sort(values[first[k] : first[k + 1]]) for k in range(len(items))]
+        self.need = np.maximum(np.ceil(least * self.lengths - 1e-9), 1).astype(np.int64)
+        names, number = np.unique(values, return_counts=True)
+        seeds: list[tuple[int, int]] = []
+        for k in range(len(items)):
+            if counts[k] >= 5:
+                rare = np.argsort(number[np.searchsorted(names, self.own[k])], kind="stable")
+                seeds += [(int(v), k) for v in np.unique(self.own[k][rare[: len(rare) - self.need[k] + 1]])]
+        seeds.sort()
+        self.seeds, self.seed_item = np.array([v for v, _ in seeds], np.uint64), np.array([k for _, k in seeds], np.int64)
         self.classes = [(size, *self._index(rows)) for size, rows in sorted(by_size.items())]
 
     @staticmethod
@@ -94,7 +110,7 @@ class ItemIndex:
         return item, offset, marks, tables
 
     def candidates(self, values: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, first shingle, item) of all windows whose fingerprint is within RADIUS of an item's."""
+        """(row, first shingle, item) of all windows whose fingerprint is within RADIUS of an item's, and those of _seeded."""
         out: set[tuple[int, int, int]] = set()
         sums = running(values, self.kind)
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -118,6 +134,27 @@ class ItemIndex:
                 inside = window + size <= first[row + 1]
                 for w, r, e in zip(window[inside].tolist(), row[inside].tolist(), entry[inside].tolist()):
                     out.add((r, max(int(first[r]), w - int(offset[e])), int(item[e])))
+        return out | self._seeded(values, first, row_of)
+
+    def _seeded(self, values: np.ndarray, first: np.ndarray, row_of: np.ndarray) -> set[tuple[int, int, int]]:
+        """(row, first shingle, item) of all windows with enough of the shingles of an item that shares a seed."""
+        out: set[tuple[int, int, int]] = set()
+        if not len(self.seeds) or not len(values):
+            return out
+        at = np.searchsorted(self.seeds, values)
+        hit = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == values)
+        number = np.searchsorted(self.seeds, values[hit], side="right") - at[hit]
+        end = np.cumsum(number)
+        item = self.seed_item[np.repeat(at[hit] - (end - number), number) + np.arange(number.sum())]
+        for row, k in np.unique(np.stack([np.repeat(row_of[hit], number), item], axis=1), axis=0).tolist():
+            text, own = values[first[row] : first[row + 1]], self.own[k]
+            size = min(int(self.lengths[k]), len(text))
+            held = own[np.minimum(np.searchsorted(own, text), len(own) - 1)] == text
+            total = np.concatenate([[0], np.cumsum(held)])
+            # a window near the end of a text may be shorter than the item
+            stop = np.minimum(np.arange(len(text)) + size, len(text))
+            for start in np.flatnonzero(total[stop] - total[:-1] >= self.need[k]).tolist():
+                out.add((row, int(first[row]) + start, k))
         return out
 
     def matches(self, column: pa.Array, least: float) -> dict[tuple[int, int], tuple[float, int, int]]:
@@ -157,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value)
+            index = ItemIndex(shared.value, least)
             for batch in batches:
                 for part in by_bytes(batch, "text", STEP):
                     got = index.matches(part.column("text"), least)
@@ -178,7 +215,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) ->
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(shared.value)
+            index = ItemIndex(shared.value, least)
             for batch in batches:
                 for part in by_bytes(batch, "text", STEP):
                     mask = np.ones(part.num_rows, bool)

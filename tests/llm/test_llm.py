@@ -146,6 +146,29 @@ def test_leaks_against_all_windows(spark, texts):
         assert len(mine & theirs) >= 0.6 * len(theirs)
 
 
+def test_leaks_at_the_threshold_are_found(spark):
+    rng, five = np.random.default_rng(3), lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    items, docs, want = [], [], {}
+    for k, (size, changed) in enumerate([(50, 1), (60, 1), (100, 2), (150, 3), (200, 4), (300, 6)] * 15):
+        item = [f"i{k}-{j}" for j in range(size)]
+        near = list(item)
+        for j in rng.choice(size, changed, replace=False):
+            near[j] = f"new{j}"
+        doc = [f"a{k}-{j}" for j in range(80)] + near + [f"b{k}-{j}" for j in range(80)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(doc)))
+        best = 0.0
+        for j in range(len(doc) - size + 1):
+            x, y = five(doc[j : j + size]), five(item)
+            both = sum((x & y).values())
+            best = max(best, both / (sum(x.values()) + sum(y.values()) - both))
+        if best >= 0.8:
+            want[k] = round(best, 9)
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 0.8)
+    got = {r.doc_id: round(r.similarity, 9) for r in found.collect()}
+    assert len(want) > 40 and got == want, (len(got), len(want))
+
+
 def test_surrogates(spark):
     text = "Mail John.Doe12@mail3.Example.com or JOHN.DOE12@mail3.example.com, +1 (743) 555-3824 or 743-555-3824, 4111 1111 1111 1111, id 4111111111111112, from 8.196.197.208, token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\". Mrs Anna Schmidt met Mr Schmidt. господин Петров"
     docs = spark.createDataFrame([(1, text), (1, text), (2, "nothing of that kind"), (3, None)], "doc_id long, text string")
