@@ -30,6 +30,9 @@ COMMON_WORDS = {
 SYMBOLS = "#*$%&|<>"
 CHAR_MAX, CHAR_LEAST = 0.10, 200
 WORD_MAX, WORD_LEAST = 0.25, 100
+#: Share of the divergence of a text without common words that a text may have, where that divergence
+#: tells anything: in a language that hardly has the words above, only WORD_MAX holds.
+WORD_SHARE, WORD_TELLS = 0.5, 0.05
 #: Languages up to which their histograms are broadcast; beyond it they are joined by a shuffle.
 FEW_LANGUAGES = 1000
 
@@ -166,11 +169,15 @@ def quality(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     kept is false if base_failed (fewer than 50 words, or over half of the words in repeated windows
     of three), or a text of CHAR_LEAST characters diverges by over CHAR_MAX, or one of WORD_LEAST words
-    by over WORD_MAX. Null and empty texts have zero measures and fail. A null language is one of its
+    by over WORD_MAX or WORD_SHARE of what a text without common words diverges by. Null and empty texts have zero measures and fail. A null language is one of its
     own. Repeated rows count each; an empty table gives an empty result. keep_text=False leaves only
     doc_id beside the struct.
     """
-    refs = stored(language_histograms(docs), "languages")
+    refs = language_histograms(docs).withColumn("none", F.array(*[F.lit(int(k == WORD_BINS - 1)) for k in range(WORD_BINS)]).cast("array<long>"))
+    most = F.col("most")
+    refs = refs.withColumn("most", _divergence("none", "ref_words"))
+    refs = refs.withColumn("word_limit", F.when(most >= WORD_TELLS, F.least(F.lit(WORD_MAX), WORD_SHARE * most)).otherwise(WORD_MAX))
+    refs = stored(refs.drop("none", "most"), "languages")
     refs = F.broadcast(refs) if refs.count() <= FEW_LANGUAGES else refs
     rows = docs if keep_text else docs.select("doc_id", "text", "lang")
     name, language = "quality", "language"
@@ -195,7 +202,7 @@ def quality(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     found = found.withColumns({f"{name}_c": _divergence(f"{name}_c", "ref_chars"), f"{name}_w": _divergence(f"{name}_w", "ref_words")})
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     odd = (F.aggregate(q["chars"], F.lit(0).cast("long"), lambda s, x: s + x) >= CHAR_LEAST) & (F.coalesce(f"{name}_c", F.lit(0.0)) > CHAR_MAX)
-    odd = odd | ((q["n_words"] >= WORD_LEAST) & (F.coalesce(f"{name}_w", F.lit(0.0)) > WORD_MAX))
+    odd = odd | ((q["n_words"] >= WORD_LEAST) & (F.coalesce(f"{name}_w", F.lit(0.0)) > F.col("word_limit")))
     parts = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     result = F.struct(*parts, F.col(f"{name}_c").alias("char_divergence"), F.col(f"{name}_w").alias("word_divergence"), failed.alias("base_failed"), (~failed & ~odd).alias("kept"))
     return found.select(*kept, result.alias(name))

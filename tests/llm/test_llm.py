@@ -131,6 +131,15 @@ def test_quality_measures(spark, texts):
         assert r.base_failed == (len(w) < 50 or 100 * repeated > 50 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_texts_without_function_words_are_rejected(spark):
+    rng = np.random.default_rng(2)
+    made = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, 5))
+    common = "the of and to in a is that for it with as was on are by this be from or".split()
+    rows = [(i, " ".join(common[rng.integers(20)] if rng.random() < 0.26 and i < 90 else made() for _ in range(200)), "en") for i in range(100)]
+    got = {r.doc_id: r.quality.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: i < 90 for i in range(100)}
+
+
 def test_leaks_against_all_windows(spark, texts):
     items = {r.item_id: words_of(lower(r.text)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in queries.op1_decontaminate(spark, SMALL).collect()}
