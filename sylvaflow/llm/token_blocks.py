@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvaflow.llm.encoding import encoder
@@ -23,21 +23,18 @@ from sylvaflow.llm.text import by_bytes
 BLOCK = 512
 #: Share of a block's values that must fit the packed width.
 PERCENTILE = 95
-#: Blocks whose bits are spread out at once.
-AT_ONCE = 128
+#: Values of a block that are packed side by side: value k stands in lane k % LANES, and each lane fills 32-bit words.
+LANES = 16
 SEGMENTS = (
     "part int, seq int, doc_ids array<long>, doc_sizes array<int>, n_ids long, "
     "base array<int>, width array<int>, at array<int>, exceptions array<int>, payload binary"
 )
-READ = "doc_id long, part int, seq int, nth int, offset long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, part int, seq int, offset long, n_tokens long, ids_crc32 long"
 
 
-def _equal(width: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Widths with the blocks that have them, AT_ONCE at most, as single bits take a byte or more in between."""
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        for k in range(0, len(rows), AT_ONCE):
-            yield int(w), rows[k : k + AT_ONCE]
+def _fields(width: int) -> list[tuple[int, int, int]]:
+    """(place in a lane, word, shift) of each of a lane's values."""
+    return [(j, j * width // 32, j * width % 32) for j in range(BLOCK // LANES)]
 
 
 def pack(ids: np.ndarray) -> dict:
@@ -49,22 +46,28 @@ def pack(ids: np.ndarray) -> dict:
         grid[-1, -tail:] = grid[-1, : BLOCK - tail].min()
     base = grid.min(1) if n else np.zeros(0, np.uint32)
     grid -= base[:, None]
-    cut = np.sort(grid, 1)[:, min(BLOCK - 1, BLOCK * PERCENTILE // 100)] if n else base
-    width = np.ceil(np.log2(cut.astype(np.float64) + 1)).astype(np.int64)
+    rank = min(BLOCK - 1, BLOCK * PERCENTILE // 100)
+    cut = np.partition(grid, rank, axis=1)[:, rank] if n else base
+    width = np.frexp(cut.astype(np.float64))[1].astype(np.int64)
     chunks: list[bytes] = [b""] * n
     exceptions = np.zeros(n, np.int64)
-    for w, rows in _equal(width):
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
         values = grid[rows]
-        if w:
-            bits = (values[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
-        else:
-            packed = np.zeros((len(rows), 0), np.uint8)
-        wide = values >= np.uint64(1 << int(w))
-        exceptions[rows] = wide.sum(1)
-        for k, row in enumerate(rows):
-            where = np.flatnonzero(wide[k])
-            chunks[row] = packed[k].tobytes() + where.astype("<u2").tobytes() + values[k][where].astype("<u4").tobytes()
+        wide = values >= np.uint64(1 << w)
+        low = (values & np.uint32((1 << w) - 1)).reshape(len(rows), -1, LANES)
+        words = np.zeros((len(rows), w, LANES), np.uint32)
+        for j, word, shift in _fields(w) if w else ():
+            words[:, word] |= low[:, j] << np.uint32(shift)
+            if shift + w > 32:
+                words[:, word + 1] |= low[:, j] >> np.uint32(32 - shift)
+        row, where = np.nonzero(wide)
+        number = wide.sum(1)
+        exceptions[rows] = number
+        where, outside = where.astype("<u2"), values[row, where].astype("<u4")
+        ends = np.cumsum(number).tolist()
+        for k, (at, begin, end) in enumerate(zip(rows.tolist(), [0, *ends], ends)):
+            chunks[at] = words[k].tobytes() + where[begin:end].tobytes() + outside[begin:end].tobytes()
     at = np.zeros(n + 1, np.int64)
     np.cumsum([len(c) for c in chunks], out=at[1:])
     return {"base": base.astype(np.int64), "width": width, "at": at, "exceptions": exceptions, "payload": b"".join(chunks)}
@@ -73,25 +76,26 @@ def pack(ids: np.ndarray) -> dict:
 def unpack(n_ids: int, base, width, at, exceptions, payload: bytes) -> np.ndarray:
     """The ids of a segment again."""
     base, width, at, exceptions = (np.asarray(x, np.int64) for x in (base, width, at, exceptions))
-    data = np.frombuffer(payload, np.uint8)
-    grid = np.zeros((len(base), BLOCK), np.uint32)
-    for w, rows in _equal(width):
+    grid = np.zeros((len(base), BLOCK // LANES, LANES), np.uint32)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
         if w:
-            size = BLOCK * int(w) // 8
-            packed = data[at[rows][:, None] + np.arange(size)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            values = np.zeros((len(rows), BLOCK), np.uint32)
-            for j in range(w):
-                values |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
-            grid[rows] = values
-        for row in rows[exceptions[rows] > 0]:
-            k, begin = int(exceptions[row]), int(at[row]) + BLOCK * int(w) // 8
-            where = np.frombuffer(payload, "<u2", k, begin)
-            grid[row, where] = np.frombuffer(payload, "<u4", k, begin + 2 * k)
-    return (grid + base.astype(np.uint32)[:, None]).reshape(-1)[:n_ids]
-
-
-def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_bytes: int = 1 << 20) -> None:
+            words = np.stack([np.frombuffer(payload, "<u4", w * LANES, a) for a in at[rows].tolist()]).reshape(len(rows), w, LANES)
+            values, mask = np.zeros((len(rows), BLOCK // LANES, LANES), np.uint32), np.uint32((1 << w) - 1)
+            for j, word, shift in _fields(w):
+                values[:, j] = words[:, word] >> np.uint32(shift)
+                if shift + w > 32:
+                    values[:, j] |= words[:, word + 1] << np.uint32(32 - shift)
+            grid[rows] = values & mask
+    flat = grid.reshape(-1, BLOCK)
+    for row in np.flatnonzero(exceptions).tolist():
+        k, begin = int(exceptions[row]), int(at[row]) + BLOCK * int(width[row]) // 8
+        flat[row, np.frombuffer(payload, "<u2", k, begin)] = np.frombuffer(payload, "<u4", k, begin + 2 * k)
+    flat += base.astype(np.uint32)[:, None]
+    return flat.reshape(-1)[:n_ids]
+
+
+def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_bytes: int = 4 << 20) -> None:
     """Writes docs(doc_id, text) to `path`, in ascending doc_id over files and within them.
 
     Documents are dealt out by ranges of (doc_id, text), sorted, encoded and packed; a null
@@ -103,15 +107,14 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, s
         from pyspark import TaskContext
 
         code, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        ints = pa.list_(pa.int32())
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", ints), ("n_ids", pa.int64()), ("base", ints), ("width", ints), ("at", ints), ("exceptions", ints), ("payload", pa.binary())])
         for batch in batches:
             for rows in by_bytes(batch, "text", segment_bytes):
                 ids, start = code.encode(rows.column("text"))
                 ids = np.insert(ids, start[1:], end_id)
-                packed = pack(ids)
-                yield pa.RecordBatch.from_pylist(
-                    [{"part": part, "seq": seq, "doc_ids": rows.column("doc_id").to_pylist(), "doc_sizes": np.diff(start) + 1, "n_ids": len(ids), **packed}],
-                    pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32())), ("n_ids", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("base", "width", "at", "exceptions")), ("payload", pa.binary())]),
-                )
+                row = {"part": part, "seq": seq, "doc_ids": rows.column("doc_id").to_pylist(), "doc_sizes": (np.diff(start) + 1).tolist(), "n_ids": len(ids), **pack(ids)}
+                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
                 seq += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -122,32 +125,28 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, s
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
-    A segment's place follows from the sizes of those before it: only the columns part, seq and
-    n_ids are read for that, and summed by part first, so the running sum is over one row a part.
+    A segment's place follows from the sizes of those before it: of its part's segments, and of the
+    parts before. Running sums take two passes for that, so no task sees more than the segments of one
+    part or one row a part (as many as the writing job had tasks, whatever the input).
     """
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = unpack(*(row[c] for c in ("n_ids", "base", "width", "at", "exceptions", "payload"))).astype("<u4").tobytes()
-                ends = np.cumsum(np.asarray(row["doc_sizes"], np.int64))
-                begin = np.concatenate([[0], ends[:-1]])
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(begin), pa.array(ends - begin), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist())], pa.int64())],
-                    ["doc_id", "part", "seq", "nth", "offset", "n_tokens", "ids_crc32"],
-                )
+            for k in range(batch.num_rows):
+                field = lambda c: batch.column(c)[k]  # noqa: B023, E731
+                listed = lambda c: field(c).values.to_numpy(zero_copy_only=False)
+                raw = memoryview(unpack(field("n_ids").as_py(), *map(listed, ("base", "width", "at", "exceptions")), field("payload").as_py()).astype("<u4").tobytes())
+                ends = np.cumsum(listed("doc_sizes"), dtype=np.int64)
+                begin, n = np.concatenate([[0], ends[:-1]]), len(ends)
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist())]
+                part, seq = (pa.array(np.full(n, field(c).as_py(), np.int32)) for c in ("part", "seq"))
+                yield pa.RecordBatch.from_arrays([field("doc_ids").values, part, seq, pa.array(begin), pa.array(ends - begin), pa.array(crc, pa.int64())], ["doc_id", "part", "seq", "offset", "n_tokens", "ids_crc32"])
 
     stored = spark.read.schema(SEGMENTS).parquet(path)
-    by_part = stored.groupBy("part").agg(F.sum("n_ids").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "n_ids"))).alias("segments"))
-    sizes = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # one row a part: as many as the writing job had tasks, whatever the input
-    before = sizes.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts")).select(
-        F.explode(F.transform("parts", lambda p: F.struct(p["part"].alias("part"), F.aggregate(F.filter("parts", lambda q: q["part"] < p["part"]), F.lit(0).cast("long"), lambda s, q: s + q["n"]).alias("part_start")))).alias("p")
-    ).select("p.*")
-    places = by_part.join(before, "part").select(
-        "part", F.explode(F.transform("segments", lambda s: F.struct(s["seq"].alias("seq"), (F.col("part_start") + F.aggregate(F.filter("segments", lambda q: q["seq"] < s["seq"]), F.lit(0).cast("long"), lambda a, q: a + q["n_ids"])).alias("segment_start")))).alias("s")
-    ).select("part", "s.*")
+    sizes = stored.select("part", "seq", "n_ids")
+    before = lambda n, line: F.coalesce(F.sum(n).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before("n", Window.orderBy("part")).alias("part_start"))
+    places = sizes.select("part", "seq", before("n_ids", Window.partitionBy("part").orderBy("seq")).alias("in_part"))
+    places = places.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("segment_start"))
     read = stored.mapInArrow(documents, READ)
     return read.join(places, ["part", "seq"]).select("doc_id", (F.col("segment_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
-

@@ -14,11 +14,11 @@ from sylvaflow.llm.text import as_strings, by_bytes, offsets
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, batch_bytes: int = 2 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text).
 
-    Batches hold about `batch_bytes` of text, so one long text forms its own; it is cut
-    at places where the vocabulary's pre-tokenizer always cuts. A null or empty text has
+    Batches hold about `batch_bytes` of text, so one long text forms its own; every text is cut into
+    pieces at places where the vocabulary's pre-tokenizer always cuts. A null or empty text has
     0 bytes and 0 tokens. Repeated rows and null ids stay as they are; an empty table
     gives an empty result; other columns are ignored.
     """
