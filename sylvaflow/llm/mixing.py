@@ -7,10 +7,14 @@ them, r <- max(0, r - posterior . d), where d is the gradient of the domains' to
 inverse of the sum of tokens * posterior * posterior' over documents with a rate above 0. So each
 step is one aggregate over all documents of K + K * K sums, the documents' rates are never stored
 between steps, and only the steps, K numbers each, go to the tasks.
+
+The classifier is fitted on a bounded sample; its words are chosen by counts that are made in Spark, and of
+the sample's texts only those words and their shape reach the driver.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +32,8 @@ DOMAINS = ("good", "low", "toxic")
 MAX_LABELLED = 4000
 #: Words that it looks at, at most: those that tell most about the labels.
 MAX_WORDS = 1024
-STEPS, TOLERANCE = 25, 1e-6
+#: Steps at most, and the share of all targets that may be missed without a warning.
+STEPS, TOLERANCE = 50, 1e-6
 
 
 def domain_of() -> Column:
@@ -52,30 +57,18 @@ class Classifier:
         self.words, self.weights = words, weights
 
     @classmethod
-    def fit(cls, rows: list[tuple[int, np.ndarray, list[float]]], seed_words: int = MAX_WORDS) -> "Classifier":
-        """rows: domain, distinct word hashes (int64), shape. Without rows all posteriors are equal; of a
-        domain without rows the posterior is 0."""
+    def fit(cls, words: np.ndarray, rows: list[tuple[int, np.ndarray, list[float]]]) -> "Classifier":
+        """words: sorted hashes; rows: domain, places in `words` of a text's words, shape. Without rows all
+        posteriors are equal; of a domain without rows the posterior is 0."""
         k = len(DOMAINS)
         if not rows:
             return cls(np.zeros(0, np.uint64), np.zeros((4, k)))
         y = np.array([r[0] for r in rows])
-        sizes = np.array([len(r[1]) for r in rows])
-        flat = np.concatenate([r[1] for r in rows]).astype(np.int64).view(np.uint64) if sizes.sum() else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        names, index = np.unique(flat, return_inverse=True)
-        table = np.zeros((len(names), k))
-        np.add.at(table, (index, y[owner]), 1)
-        seen, class_size = table.sum(1, keepdims=True), np.bincount(y, minlength=k)
-        expected = seen * class_size / len(rows)
-        score = ((table - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1) * (seen[:, 0] >= 4)
-        chosen = np.sort(np.argsort(-score, kind="stable")[:seed_words])
-        chosen = chosen[score[chosen] > 0]
-        place = np.full(len(names), -1)
-        place[chosen] = np.arange(len(chosen))
-        x = np.zeros((len(rows), len(chosen) + 4), np.float32)
-        hit = place[index] >= 0
-        x[owner[hit], place[index[hit]]] = 1
-        x[:, -4:-1], x[:, -1] = np.array([r[2] for r in rows]), 1
+        class_size = np.bincount(y, minlength=k)
+        x = np.zeros((len(rows), len(words) + 4), np.float32)
+        for row, (_, places, shape) in zip(x, rows):
+            row[places] = 1
+            row[-4:-1], row[-1] = shape, 1
         target = np.eye(k, dtype=np.float32)[y]
         present = class_size > 0
         w = np.zeros((x.shape[1], k), np.float32)
@@ -89,7 +82,7 @@ class Classifier:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w[:, ~present], w[-1, ~present] = 0, -1e9
-        return cls(names[chosen], w.astype(np.float64))
+        return cls(words, w.astype(np.float64))
 
     def posteriors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words and posteriors (rows x domains) of each text."""
@@ -108,10 +101,13 @@ class Classifier:
         return counts, p / p.sum(1, keepdims=True)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Classifier:
-    """Fits on at most `most` labelled rows; rows without label or document don't count."""
-    keyed = labels.select(F.col("doc_id").alias("doc_id"), domain_of().alias("domain")).filter("doc_id is not null and domain is not null").distinct()
-    sample = keyed.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(most)
+def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_words: int = MAX_WORDS) -> Classifier:
+    """Fits on at most `most` labelled rows and `most_words` words, those of greatest chi-square. Rows
+    without label or document don't count; of a document's labels the last in DOMAINS does, and of rows
+    that repeat its id the one with the least hash."""
+    keyed = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain")).filter("doc_id is not null and domain is not null")
+    keyed = keyed.groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    sample = keyed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,14 +115,33 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
                 words = Words(part.column("text"))
                 own, first = distinct(words.hash, words.first)
                 shape = _shape(words)
-                yield pa.RecordBatch.from_arrays([part.column("domain"), list_array(own.view(np.int64), first, pa.int64()), pa.array(shape.tolist(), pa.list_(pa.float64()))], ["domain", "words", "shape"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), part.column("domain"), list_array(own.view(np.int64), first, pa.int64()), pa.array(shape.tolist(), pa.list_(pa.float64()))], ["doc_id", "h", "domain", "words", "shape"])
 
     # the sample's size is bounded by a parameter, so it may be broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", "text").mapInArrow(features, "domain int, words array<long>, shape array<double>")
-    table = found.toArrow()
-    rows = [(d, np.asarray(w, np.int64), s) for d, w, s in zip(*(table.column(c).to_pylist() for c in ("domain", "words", "shape")))]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[2], r[1][:8].tolist()))
-    return Classifier.fit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").join(F.broadcast(sample), "doc_id")
+    found = texts.mapInArrow(features, "doc_id long, h long, domain int, words array<long>, shape array<double>")
+    found = stored(found.groupBy("doc_id").agg(F.min_by(F.struct("domain", "words", "shape"), "h").alias("r")).select("r.*"), "sample")
+    k = len(DOMAINS)
+    sizes = {r.domain: r["count"] for r in found.groupBy("domain").count().collect()}
+    total = max(sum(sizes.values()), 1)
+    held = [F.count_if(F.col("domain") == d) for d in range(k)]
+    table = found.select("domain", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *(c.alias(f"n{d}") for d, c in enumerate(held)))
+    expected = [F.col("n") * F.lit(sizes.get(d, 0) / total) for d in range(k)]
+    score = reduce(lambda s, x: s + x, ((F.col(f"n{d}") - e) * (F.col(f"n{d}") - e) / F.greatest(e, F.lit(1e-9)) for d, e in enumerate(expected)))
+    best = table.filter("n >= 4").withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "word").limit(most_words)
+    chosen = np.sort(np.array([r.word for r in best.collect()], np.int64).view(np.uint64))
+    signed = chosen.view(np.int64)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.sort(signed)
+        back = np.searchsorted(chosen, order.view(np.uint64))
+        for batch in batches:
+            words = [np.asarray(w, np.int64) for w in batch.column("words").to_pylist()]
+            hits = [back[np.searchsorted(order, np.intersect1d(w, order))].tolist() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(hits, pa.list_(pa.int32())), batch.column("shape")], ["domain", "places", "shape"])
+
+    rows = found.mapInArrow(places, "domain int, places array<int>, shape array<double>").collect()
+    return Classifier.fit(chosen, sorted((r.domain, np.sort(np.array(r.places, np.int64)).tolist(), list(r.shape)) for r in rows))
 
 
 def _rate(posterior: Column, steps: list[list[float]]) -> Column:
@@ -136,9 +151,10 @@ def _rate(posterior: Column, steps: list[list[float]]) -> Column:
 
 def solve(members: DataFrame, weights: dict[str, float], total: float | None = None) -> list[list[float]]:
     """Steps to the rates of members(n_tokens, posterior). Domains without weight have target 0, and
-    domains without expected tokens are left out. total: tokens wanted. None: no domain is to grow;
-    the domain of the greatest weight keeps all its tokens, the others get theirs in proportion, and one
-    that has fewer gives all it has."""
+    domains without expected tokens are left out. total: tokens wanted. None: the domain of the
+    greatest weight keeps all its tokens, and the others shrink or grow to their proportion of that. Warns
+    where no rates meet the targets, as when a domain has no text of its own; the rates are then those of
+    the steps so far, which bring the sum of squares down."""
     k = len(DOMAINS)
     steps: list[list[float]] = []
     p = F.col("posterior")
@@ -157,8 +173,12 @@ def solve(members: DataFrame, weights: dict[str, float], total: float | None = N
                 return steps
             share = share / share.sum()
             first = int(share.argmax())
-            target = share * total if total is not None else np.minimum(share * now[first] / share[first], now)
-        if len(steps) >= STEPS or np.abs(now - target).max() <= TOLERANCE * max(target.sum(), 1.0):
+            target = share * total if total is not None else share * now[first] / share[first]
+        missed = float(np.abs(now - target).max())
+        if missed <= TOLERANCE * max(target.sum(), 1.0):
+            return steps
+        if len(steps) >= STEPS:
+            warnings.warn(f"mixing: a target is missed by {missed:.0f} of {target.sum():.0f} tokens after {STEPS} steps", stacklevel=2)
             return steps
         ridge = 1e-9 * max(np.trace(m), 1e-9) * np.eye(k)
         steps.append(np.linalg.lstsq(m + ridge, now - target, rcond=None)[0].tolist())
