@@ -37,7 +37,8 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="a key of these queries")
-    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
+    number = F.size(F.array_distinct(F.transform("entities", lambda e: e["entity"])))
+    return found.select("doc_id", "text", number.cast("long").alias("n_entities"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return cross_entropy_difference(docs, target_documents(docs, _table(spark, sf_dir, "labels")))
+    return cross_entropy_difference(docs, target_documents(_table(spark, sf_dir, "labels")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

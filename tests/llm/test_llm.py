@@ -1,22 +1,25 @@
 """The corpus operators against brute force, exact round trips and planted cases."""
 
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import queries
+from sylvaflow.llm import html_text, queries
 from sylvaflow.llm.decontaminate import leaks, without_leaks
-from sylvaflow.llm.html_text import main_text
+from sylvaflow.llm.html_text import host_of, main_text
 from sylvaflow.llm.licenses import aligned, license_scan
-from sylvaflow.llm.lm_score import cross_entropy_difference
+from sylvaflow.llm.lm_score import cross_entropy_difference, mixture
 from sylvaflow.llm.mixing import mixed, mixing_rates
 from sylvaflow.llm.near_dup import near_duplicates, one_of_each
-from sylvaflow.llm.pii import with_surrogates
+from sylvaflow.llm.pii import ENTITY, with_surrogates
 from sylvaflow.llm.quality import kept_by_quality, quality
 from sylvaflow.llm.token_blocks import BLOCK, pack, read_blocks, unpack, write_blocks
 from sylvaflow.llm.token_counts import token_counts
@@ -88,6 +91,15 @@ def test_copies_that_link_only_to_their_original_are_found(spark):
     assert got == {i: 0 if i <= 2000 else i for i, _ in rows}
 
 
+def test_rows_that_repeat_an_id_keep_their_own_classes(spark):
+    base = [f"w{k}" for k in range(120)]
+    x, y = list(base), [f"v{k}" for k in range(120)]
+    x[60] = "other"
+    rows = [(5, " ".join(base)), (5, " ".join(y)), (2, " ".join(x)), (1, " ".join(y[:-1] + ["end"]))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect())
+    assert got == [(1, 116, 1), (2, 116, 2), (5, 116, 1), (5, 116, 2)]
+
+
 def test_token_counts_and_blocks_are_the_librarys(spark, texts):
     from tokenizers import Tokenizer
 
@@ -201,6 +213,52 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(made)) == 400 and not set(made) & {np.base_repr(i, 36).lower() for i in range(400)}
 
 
+def test_full_number_spaces_end(spark):
+    """All of a two-digit space, a thousand of ten thousand short phones, and secrets of one character."""
+    rows = [(i, f"call +49 {i // 10} {i % 10} now") for i in range(100)] + [(1000 + i, f"call +49 {20 + i % 80} {i // 80:02d} x") for i in range(1000)]
+    rows += [(5000, "token = " + "-" * 20), (5001, "from 8.8.8.8 and 08.8.8.08")]
+    got = {r.doc_id: r for r in with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for ids in (range(100), range(1000, 2000)):
+        made = [got[i].entities[0].surrogate for i in ids]
+        assert len(set(made)) == len(made) and all(re.fullmatch(r"\+49\d+", m) for m in made)
+        assert {len(m) for m in made} == {5 if ids[0] == 0 else 7}
+    assert "-" * 20 + " " not in got[5000].text + " " and len(got[5001].entities) == 2
+    assert got[5001].entities[0].surrogate == got[5001].entities[1].surrogate != "8.8.8.8"
+
+
+def test_surrogates_are_one_to_one_over_the_table(spark, texts):
+    """Text around entities stays; each address part, and each number, has one surrogate, and no two the same."""
+    entity = regex.compile(ENTITY)
+    out = {r.doc_id: (r.text, r.n_entities) for r in queries.op3_surrogates(spark, SMALL).collect()}
+    maps = defaultdict(dict)
+    for i, t in texts.items():
+        new, number = out[i]
+        if not number:
+            assert new == t
+            continue
+        mentions, gaps = [m[0] for m in entity.finditer(t)], [g for g in re.split("\0", entity.sub("\0", t))]
+        at = 0
+        made = []
+        for k, gap in enumerate(gaps):
+            assert new.startswith(gap, at) if k == 0 else True
+            end = new.index(gap, at) if k < len(gaps) - 1 else len(new) - len(gap)
+            if k:
+                made.append(new[at:end])
+            at = end + len(gap)
+        assert len(made) == len(mentions)
+        for a, b in zip(mentions, made):
+            if "@" in a:
+                for k, name in enumerate(("local", "domain")):
+                    maps[name].setdefault(a.lower().split("@")[k], set()).add(b.lower().split("@")[k])
+            elif regex.fullmatch(r"\d+(\.\d+){3}", a):
+                maps["ip"].setdefault(a, set()).add(b)
+    assert maps["local"]
+    for name, pairs in maps.items():
+        assert all(len(v) == 1 for v in pairs.values()), name
+        made = [next(iter(v)) for v in pairs.values()]
+        assert len(set(made)) == len(made) and not set(made) & set(pairs), name
+
+
 def test_license_alignment(spark):
     assert aligned(list("abcxdef"), list("abqcydef")) == [(0, 0), (1, 1), (2, 3), (4, 5), (5, 6), (6, 7)]
     assert aligned([], [1]) == [] and aligned([1, 1], [1, 1]) == [(0, 0), (1, 1)]
@@ -215,6 +273,44 @@ def test_scores_favour_the_target(spark):
     assert all((s < 0) == bool(i % 2) for i, s in got.items())
 
 
+def test_scores_are_those_of_counted_models(spark, texts):
+    """Against dictionaries of all words and pairs, each document left out of its own models."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").collect()
+    target = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
+    words = {i: words_of(lower(t)) for i, t in texts.items()}
+    counted = lambda ids, f: sum((Counter(f(words[i])) for i in ids), Counter())
+    pairs_of, firsts_of = lambda w: zip(w, w[1:]), lambda w: w[:-1]
+    models = [[counted(ids, f) for f in (list, firsts_of, pairs_of)] for ids in (words, sorted(target & words.keys()))]
+    size = len(models[0][0])
+    totals = [sum(m[0].values()) for m in models]
+    for row in queries.op5_lm_score(spark, SMALL).collect():
+        w = words[row.doc_id]
+        assert row.n_tokens == len(w)
+        if not w:
+            assert row.score is None
+            continue
+        own = [Counter(f(w)) for f in (list, firsts_of, pairs_of)]
+        losses = []
+        for (single, first, pair), total, held in zip(models, totals, (True, row.doc_id in target)):
+            loss = 0.0
+            for k, x in enumerate(w):
+                p = (single[x] - held * own[0][x] + 0.5) / (total - held * len(w) + 0.5 * size)
+                if k and (n := first[w[k - 1]] - held * own[1][w[k - 1]]):
+                    p = 0.5 * (pair[w[k - 1], x] - held * own[2][w[k - 1], x]) / n + 0.5 * p
+                loss -= np.log(p)
+            losses.append(loss / len(w))
+        assert np.allclose([row.background_loss, row.target_loss, row.score], [*losses, losses[1] - losses[0]])
+
+
+def test_models_are_distributions():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(0, 12, 300)
+    pairs, first = np.zeros((13, 13)), np.bincount(tokens[:-1], minlength=13)
+    np.add.at(pairs, (tokens[:-1], tokens[1:]), 1)
+    for v in range(13):  # the last word occurs in no pair
+        assert np.isclose(mixture(pairs[v], np.full(13, first[v]), np.bincount(tokens, minlength=13), 300, 13).sum(), 1)
+
+
 def test_rates_meet_the_targets(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     rows = mixing_rates(docs, labels, {"good": 0.6, "low": 0.3, "toxic": 0.1}, total=50_000).collect()
@@ -226,12 +322,66 @@ def test_rates_meet_the_targets(spark):
     assert np.mean(truth[1]) > 0.8 > 0.2 > np.mean(truth[0])
 
 
+def test_registered_rates_meet_the_weights(spark):
+    rows = queries.op10_mixing(spark, SMALL).collect()
+    held = np.array([[r[f"p_{d}"] * r.n_tokens * r.rate for d in queries.WEIGHTS] for r in rows]).sum(0)
+    assert np.allclose(held / held.sum(), list(queries.WEIGHTS.values()), atol=1e-5)
+    assert np.isclose(held[0], sum(r.p_good * r.n_tokens for r in rows), rtol=1e-4)
+
+
+def test_rates_of_a_repeated_id_and_of_ties(spark):
+    docs = spark.createDataFrame([(i % 30, ("good words here " if i % 3 else "bad stuff ") * 5) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)] + [(0, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    rows = mixing_rates(docs, labels, {"good": 0.5, "low": 0.5}).collect()
+    assert len(rows) == 60 and len({(r.doc_id % 3 == 0, round(r.rate, 9)) for r in rows}) == 2
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title></head><body><nav>Menu</nav><article><h1>Head &amp; more</h1><p>One\n two.</p><div class='comments'>Reply</div></article><footer>Foot</footer><script>x<y</script></body></html>"
     pages = spark.createDataFrame([(1, "http://a.b/c", page), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
     assert {r.page_id: r.blocks for r in main_text(pages).collect()} == {1: ["Head & more", "One two."], 2: [], 3: []}
 
 
+def test_what_a_site_repeats_goes(spark):
+    """Unmarked site parts on all pages and promo lines on all go; quotations, copies and tiny hosts stay."""
+    def page(k, host="h.org"):
+        body = f"<div><span>Site {host}</span> line</div><p>Subscribe now to all of it</p><article><h1>Title {k}</h1><p>Own words of page {k} {'and more ' * 20}</p><p>A quotation of many pages</p><ul><li>Buy it here</li></ul></article>"
+        return (k, f"http://{host}/{k}", f"<html><body>{body if k % 2 else body.replace('<p>A quotation of many pages</p>', '')}<div>Other {k}</div></body></html>")
+
+    rows = [page(k) for k in range(8)] + [page(k, "tiny.org") for k in (100, 101)] + [(200 + k, "http://copies.org/", page(1)[2]) for k in range(6)]
+    got = {r.page_id: r.blocks for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == [f"Title {k}", f"Own words of page {k} {'and more ' * 20}".strip(), *["A quotation of many pages"] * (k % 2)]
+    assert got[101][-1] == "Buy it here" and got[200] == got[205] and got[200][-1] == "Buy it here"
+
+
+def test_templates_are_those_of_a_count_in_memory(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("url", "html", host_of(F.col("url")).alias("host"))
+    pages = pages.unionByName(pages.withColumn("html", F.concat(F.col("html"), F.lit("<div>on all pages</div>"))))
+    held, sizes = defaultdict(list), Counter()
+    for row in pages.collect():
+        sizes[row.host] += 1
+        for key, parent in {(html_text._key(n, i), i): p for n, p, i in html_text._marked(html_text.parse(row.html or ""))}.items():
+            held[row.host, *key].append(parent)
+    want = set()
+    for (host, key, inside), parents in held.items():
+        n, different = len(parents), len(set(parents))
+        if n >= 3 and n >= (0.9 if inside else 0.2) * sizes[host] and different >= min(5, sizes[host]):
+            want.add((host, key))
+    assert want == {tuple(r) for r in html_text.site_templates(pages).collect()} and want
+
+
+def test_odd_pages():
+    read = lambda s: html_text.blocks(html_text.parse(s))
+    assert read("<body><form><h1>T</h1><p>story words here</p></form></body>") == ["T", "story words here"]
+    assert read("<div><p>the story is this long text in a div</p></div><article><p>a comment</p></article>") == ["the story is this long text in a div"]
+    assert read("<article><p>a <span class='share'>b</span></p><div class='content has-sidebar'>c</div></article>") == ["a b", "c"]
+    begin = time.time()
+    for bad in ("<a b " * 200_000, "<div>" * 4000 + "</x>" * 4000, "<b>" * 4000 + "<hr>" * 4000 + "</p>" * 4000, "<a b='" * 50_000):
+        read(bad)
+    assert time.time() - begin < 4
+
+
 def test_odd_rows_and_empty_tables(spark, odd, tmp_path):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "no id here at all"), (2, None), (None, "x y z a b c"), (3, "few words")], "item_id long, text string")
