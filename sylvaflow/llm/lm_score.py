@@ -28,8 +28,10 @@ from sylvaflow.llm.text import Words, by_bytes, mix
 
 #: Weight of the pair frequencies, and what is added to every word's count.
 PAIR_WEIGHT, ADDED = 0.5, 0.5
+#: Target ids that are broadcast at most; more are joined by a shuffle of the texts.
+FEW_TARGETS = 1 << 21
 #: Text bytes of a chunk, and keys that a bucket gets from all chunks, about.
-CHUNK, BUCKET_KEYS = 8 << 20, 1 << 21
+CHUNK, BUCKET_KEYS = 5 << 20, 1 << 20
 CHUNKS = "chunk long, doc_ids array<long>, sizes array<long>, target array<boolean>, n_tokens long, n_words long, words binary, stream binary"
 ASKED = "bucket long, chunk long, keys binary, counts binary"
 ANSWERS = "bucket long, chunk long, counts binary, n_distinct long"
@@ -146,6 +148,7 @@ class _Chunk:
             before[at] = words[first, 2 + m] - own_first * left[at]
             single = words[self.stream, m] - own_word * left
             p = mixture(pair, before, single, totals[m] - self.sizes[self.doc] * left, vocabulary)
+            del pair, before, single
             out[m] = np.bincount(self.doc, -np.log(p), minlength=len(self.sizes))
         return out
 
@@ -163,8 +166,8 @@ def _answer(rows: pa.Table) -> pa.Table:
     width = len(counts[0]) // sizes[0]
     names, back = np.unique(np.concatenate(keys), return_inverse=True)
     table, said = np.concatenate(counts).reshape(-1, width), np.zeros((len(names), width), np.int64)
-    order = np.argsort(back, kind="stable")
-    said[:] = np.add.reduceat(table[order], np.concatenate([[0], np.flatnonzero(np.diff(back[order])) + 1]), axis=0)
+    for k in range(width):  # sums in doubles are exact below 2**53
+        said[:, k] = np.bincount(back, table[:, k], len(names))
     ends = np.cumsum(sizes)
     answers = [_packed(said[back[b - n : b]].reshape(-1)) for b, n in zip(ends.tolist(), sizes)]
     distinct = np.where(np.arange(len(sizes)) == 0, len(names), 0)
@@ -186,7 +189,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     marks = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(small(marks), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = rows.join(small(marks, FEW_TARGETS), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     chunks = stored(rows.mapInArrow(_chunks, CHUNKS), "chunks", "zstd")
     size = chunks.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum(F.aggregate(F.zip_with("sizes", "target", lambda n, t: F.when(t, n).otherwise(0)), F.lit(0).cast("long"), lambda s, n: s + n))).first()
     n_tokens, n_words, n_target = (int(x or 0) for x in size)
