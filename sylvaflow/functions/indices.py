@@ -113,3 +113,23 @@ def interpret_kappa(x: Column) -> Column:
 
 def interpret_f1(x: Column) -> Column:
     return _ladder(x, [(0.85, "very good"), (0.70, "good"), (0.55, "moderate")], "weak")
+
+
+def aspect_parts(degrees: Column) -> dict[str, Column]:
+    """An aspect as sine and cosine, so that 359 and 1 degrees are near."""
+    return {"aspect_sin": F.sin(F.radians(degrees)), "aspect_cos": F.cos(F.radians(degrees))}
+
+
+def decision_label(decision: Column) -> Column:
+    """Shown names of the decisions of a feature selection."""
+    return F.when(decision == "confirmed", "Confirmed").when(decision == "tentative", "Tentative").otherwise("Rejected")
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Half to even."""
+    return F.bround(x, digits)
+
+
+def overfit(train: Column, test: Column, gap: float = 0.03) -> Column:
+    """Whether scores on training data are over `gap` above those on test data."""
+    return (train - test) > gap

@@ -139,10 +139,22 @@ def quarter_means(v: Column, prefix: str = "") -> list[Column]:
 
 
 def thin(rows: Column, days: int) -> Column:
-    """Of an array of structs whose first field is a date, ordered: those at least `days` after the last kept."""
-    first = lambda r: r.getField("date")
-    keep = lambda kept, r: F.when((F.size(kept) == 0) | (F.datediff(first(r), first(F.try_element_at(kept, F.lit(-1)))) >= days), F.concat(kept, F.array(r))).otherwise(kept)
-    return F.aggregate(rows, F.slice(rows, 1, 0), keep)
+    """Of an array of structs whose field date is ordered: those at least `days` after the last kept. The last
+    kept date is carried along, and marks are set in one pass, so the work is linear."""
+    start = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<int>").alias("kept"), F.lit(1).alias("at"))
+
+    def step(s: Column, r: Column) -> Column:
+        take = s["last"].isNull() | (F.datediff(r["date"], s["last"]) >= days)
+        kept = F.when(take, F.array_append(s["kept"], s["at"])).otherwise(s["kept"])
+        return F.struct(F.when(take, r["date"]).otherwise(s["last"]).alias("last"), kept.alias("kept"), (s["at"] + 1).alias("at"))
+
+    return F.transform(F.aggregate(rows, start, step)["kept"], lambda k: F.element_at(rows, k))
+
+
+def evenly(start: Column, end: Column, n: int) -> Column:
+    """Array of n dates from start to end, evenly spaced (cut to whole days)."""
+    span = F.datediff(end, start)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.date_add(start, F.floor(i * span / max(n - 1, 1)).cast("int")))
 
 
 def _slope(t: Column, v: Column, low: int, high: int) -> Column:

@@ -13,41 +13,52 @@ from sylvaflow.functions import indices, series
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural cubic spline through (x, y), linear beyond the ends; values of equal x are averaged."""
-    x, back = np.unique(x, return_inverse=True)
-    y = np.bincount(back, y) / np.bincount(back)
+    """Natural cubic splines through (x, y), linear beyond the ends; values of equal x are averaged. y may hold
+    several series over the same x, one a row."""
+    many = np.atleast_2d(y)
+    x, back, number = np.unique(x, return_inverse=True, return_counts=True)
+    y = np.zeros((len(many), len(x)))
+    np.add.at(y.T, back, many.T)
+    y /= number
     n = len(x)
     if n == 1:
-        return np.full(len(at), y[0])
-    h = np.diff(x)
-    slope = np.diff(y) / h
-    m = np.zeros(n)
+        flat = np.repeat(y, len(at), axis=1)
+        return flat if len(many) > 1 else flat[0]
+    h, slope = np.diff(x), np.diff(y, axis=1) / np.diff(x)
+    m = np.zeros_like(y)
     if n > 2:
-        # second derivatives from the tridiagonal system, by elimination
-        c, d = np.zeros(n - 2), np.zeros(n - 2)
-        rhs = 6 * np.diff(slope)
+        # second derivatives from the tridiagonal system, by elimination over all series at once
+        c, d = np.zeros(n - 2), np.zeros((len(y), n - 2))
+        rhs = 6 * np.diff(slope, axis=1)
         for i in range(n - 2):
             low = h[i] if i else 0.0
             pivot = 2 * (h[i] + h[i + 1]) - low * (c[i - 1] if i else 0.0)
-            c[i], d[i] = h[i + 1] / pivot, (rhs[i] - low * (d[i - 1] if i else 0.0)) / pivot
+            c[i], d[:, i] = h[i + 1] / pivot, (rhs[:, i] - low * (d[:, i - 1] if i else 0.0)) / pivot
         for i in range(n - 3, -1, -1):
-            m[i + 1] = d[i] - (c[i] * m[i + 2] if i < n - 3 else 0.0)
+            m[:, i + 1] = d[:, i] - (c[i] * m[:, i + 2] if i < n - 3 else 0.0)
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
-    out = a * y[k] + b * y[k + 1] + ((a**3 - a) * m[k] + (b**3 - b) * m[k + 1]) * h[k] ** 2 / 6
-    left = slope[0] - h[0] * m[1] / 6
-    right = slope[-1] + h[-1] * m[-2] / 6
-    out = np.where(at < x[0], y[0] + (at - x[0]) * left, out)
-    return np.where(at > x[-1], y[-1] + (at - x[-1]) * right, out)
+    out = a * y[:, k] + b * y[:, k + 1] + ((a**3 - a) * m[:, k] + (b**3 - b) * m[:, k + 1]) * h[k] ** 2 / 6
+    left, right = slope[:, :1] - h[0] * m[:, 1:2] / 6, slope[:, -1:] + h[-1] * m[:, -2:-1] / 6
+    out = np.where(at < x[0], y[:, :1] + (at - x[0]) * left, out)
+    out = np.where(at > x[-1], y[:, -1:] + (at - x[-1]) * right, out)
+    return out if len(many) > 1 else out[0]
 
 
 def _spline(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Series with the same days are solved together: one elimination for all of them."""
     for t, v, at in parts:
-        out = []
-        for x, y, goal in zip(t, v, at):
+        out: list = [None] * len(t)
+        groups: dict[tuple[bytes, bytes], list[tuple[int, np.ndarray]]] = {}
+        for k, (x, y, goal) in enumerate(zip(t, v, at)):
             x, y = np.asarray(x, float), np.asarray([np.nan if z is None else z for z in y], float)
             ok = ~np.isnan(y)
-            out.append(natural_spline(x[ok], y[ok], np.asarray(goal, float)) if ok.sum() >= 3 else None)
+            if ok.sum() >= 3:
+                groups.setdefault((x[ok].tobytes(), np.asarray(goal, float).tobytes()), []).append((k, y[ok]))
+        for (x, goal), rows in groups.items():
+            values = natural_spline(np.frombuffer(x), np.stack([y for _, y in rows]), np.frombuffer(goal))
+            for (k, _), row in zip(rows, np.atleast_2d(values)):
+                out[k] = row
         yield pd.Series(out)
 
 
@@ -59,7 +70,7 @@ def interpolate(t: Column, v: Column, at: Column) -> Column:
 def regular_series(long: DataFrame, keys: list[str], date: str, value: str, grid: Column, origin: str) -> DataFrame:
     """keys, v: the series of long observations at the days of `grid` (days since `origin`), smoothed."""
     day = F.datediff(date, F.to_date(F.lit(origin))).cast("double")
-    rows = series.to_series(long.withColumn("_t", day), keys, "_t", value)
+    rows = series.to_series(daily(long.withColumn("_t", day), keys, "_t", [value]), keys, "_t", value)
     rows = rows.withColumn("v", interpolate(F.col("t"), F.col("v"), grid))
     return rows.select(*keys, series.savgol(F.col("v")).alias("v"))
 
@@ -82,7 +93,9 @@ def feature_matrix(wide: DataFrame, bands: list[str], key: str = "plot_id", date
     grid = F.transform(series.date_grid(year), lambda d: F.datediff(d, F.to_date(F.lit(f"{year}-01-01"))).cast("double"))
     day = F.datediff(date, F.to_date(F.lit(f"{year}-01-01"))).cast("double")
     row = F.struct(day.alias("t"), *(F.col(b).cast("double").alias(b) for b in bands))
-    plots = wide.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"), *(F.first(c, ignorenulls=True).alias(c) for c in terrain))
+    # equal dates are averaged first, in partial sums, so a plot's array has one entry a date however many rows it has
+    dated = wide.groupBy(key, date).agg(*(F.avg(F.col(b).cast("double")).alias(b) for b in bands), *(F.first(c, ignorenulls=True).alias(c) for c in terrain))
+    plots = dated.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"), *(F.first(c, ignorenulls=True).alias(c) for c in terrain))
     plots = plots.withColumns({"t": F.transform("rows", lambda r: r["t"]), "at": grid})
     smooth = {f"s_{b}": interpolate(F.col("t"), F.transform("rows", _field(b)), F.col("at")) for b in bands}
     plots = plots.withColumns(smooth).drop("rows", "t")
@@ -125,3 +138,41 @@ def complete_dates(long: DataFrame, date: str, band: str, bands: list[str]) -> D
     own = long.filter(F.col(band).isin(*bands))
     good = own.groupBy(date).agg(F.collect_set(band).alias("_b")).filter(F.size("_b") == len(bands)).select(date)
     return own.join(good, date, "left_semi")
+
+
+def multi_year(yearly: dict[int, DataFrame], key: str = "plot_id", spread: str = "pheno_") -> DataFrame:
+    """Means of features over years, and `<feature>_sd_interannual` of those whose name begins with `spread`.
+
+    Years are joined by the key, not by row number, over the columns of the first year; a later year
+    that lacks one has nulls there, which no mean counts."""
+    first = next(iter(yearly.values()))
+    names = [c for c in first.columns if c != key]
+    rows = None
+    for year, frame in yearly.items():
+        own = frame.select(key, F.lit(year).alias("_year"), *((F.col(c) if c in frame.columns else F.lit(None)).cast("double").alias(c) for c in names))
+        rows = own if rows is None else rows.unionByName(own)
+    sds = [c for c in names if c.startswith(spread)] if len(yearly) > 1 else []
+    return rows.groupBy(key).agg(F.count_distinct("_year").alias("n_years"), *(F.avg(c).alias(c) for c in names), *(F.stddev_samp(c).alias(f"{c}_sd_interannual") for c in sds))
+
+
+def pixel_features(cube: DataFrame, bands: list[str], mask: DataFrame | None = None, year: int = 2024, least: int = 3, terrain: tuple[str, ...] = ()) -> DataFrame:
+    """The feature matrix of pixels: cube(pixel_id, date, bands..., terrain...), only pixels of mask(pixel_id,
+    mask = 1) with `least` values of the first band or more. Radar bands S1_VV and S1_VH, joined by pixel and
+    date before, give their features beside the optical ones."""
+    if mask is not None:
+        cube = cube.join(mask.filter("mask = 1").select("pixel_id"), "pixel_id", "left_semi")
+    return feature_matrix(valid_series(cube, ["pixel_id"], bands[0], least), bands, key="pixel_id", year=year, terrain=terrain)
+
+
+def soft_map(predictions: DataFrame, grid: DataFrame, least: float = 0.10) -> DataFrame:
+    """grid(pixel_id, ...) with the layers of predictions(pixel_id, probability): class_idx, confidence,
+    shannon, richness and presence (array of 0 and 1); null where a pixel has no prediction."""
+    p = F.col("probability")
+    presence = indices.presence(p, least)
+    layers = predictions.select("pixel_id", indices.argmax(p).alias("class_idx"), F.array_max(p).alias("confidence"), indices.shannon(p).alias("shannon"), F.aggregate(presence, F.lit(0), lambda s, k: s + k).alias("richness"), presence.alias("presence"))
+    return grid.join(layers, "pixel_id", "left")
+
+
+def daily(frame: DataFrame, keys: list[str], date: str, values: list[str]) -> DataFrame:
+    """Means of the values by key and date: partial sums before the shuffle, so a hot key has one row a date after it."""
+    return frame.groupBy(*keys, date).agg(*(F.avg(v).alias(v) for v in values))

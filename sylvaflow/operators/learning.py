@@ -70,7 +70,7 @@ def predict(model: PipelineModel, frame: DataFrame, keep: list[str]) -> DataFram
     features = model.stages[1].getInputCols()
     missing = [c for c in features if c not in frame.columns]
     ready = impute_median(frame.withColumns({c: F.lit(0.0) for c in missing}), features)
-    out = Pipeline(stages=[]).fit(ready).transform(ready)
+    out = ready
     for stage in model.stages[1:]:
         out = stage.transform(out)
     p = F.slice(vector_to_array("probability"), 1, len(labels))
@@ -103,16 +103,17 @@ def _tail(hits: int, runs: int) -> float:
 
 def select_by_shadows(frame: DataFrame, features: list[str], label: str, key: str, runs: int = 20, trees: int = 200, p: float = 0.01, seed: int = 42) -> list[tuple[str, str, float]]:
     """(feature, decision, mean importance): a feature is confirmed if it beats the best shuffled copy of any
-    feature in significantly many runs. Copies are shuffled within a column by a join on two chance orders."""
+    feature in significantly many runs. A column's copy is shuffled by a join of the rows' places in two chance orders of the whole table."""
     usable = drop_constant(frame, features)
     ready = impute_median(frame, usable).select(key, label, *usable)
     hits, sums = dict.fromkeys(usable, 0), dict.fromkeys(usable, 0.0)
     for run in range(runs):
-        buckets = F.pmod(F.xxhash64(F.lit(seed + run), F.col(key)), F.lit(1024))
-        place = lambda s, b: F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(s), F.col(key))))
-        own = ready.withColumn("_b", buckets).withColumn("_p", place(run, 0))
-        shuffled = ready.withColumn("_b", buckets).withColumn("_p", place(run + 7919, 1)).select("_b", "_p", *(F.col(c).alias(f"shadow_{c}") for c in usable))
-        both = own.join(shuffled, ["_b", "_p"])
+        # every column has an order of its own; rank() of a whole column comes from bucketed ranks, so no task holds it
+        place = lambda frame, seed_: _ranked(frame.withColumn("_all", F.lit(0)), "_all", key, seed_).drop("_all", "_n")
+        both = place(ready, 1_000_003 * (seed + run)).withColumnRenamed("_k", "_p")
+        for j, c in enumerate(usable):
+            other = place(ready.select(key, F.col(c).alias(f"shadow_{c}")), 1_000_003 * (seed + run) + j + 1).drop(key).withColumnRenamed("_k", "_p")
+            both = both.join(other, "_p")
         model = train_forest(both, [*usable, *(f"shadow_{c}" for c in usable)], label, trees, depth=8, seed=seed + run, weight=False)
         scores = dict(importance(model))
         bar = max((v for c, v in scores.items() if c.startswith("shadow_")), default=0.0)

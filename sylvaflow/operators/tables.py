@@ -140,3 +140,104 @@ def ranked(frame: DataFrame, order: str, name: str, n: int) -> DataFrame:
     """The top-k report: the n greatest, ties by name, with their rank. Only n rows reach the window."""
     top = frame.orderBy(F.desc(order), name).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(order), name)))
+
+
+def between_dates(frame: DataFrame, date: str, start: str, end: str) -> DataFrame:
+    """Rows dated start .. end, both included: a range that scans can prune by."""
+    return frame.filter(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def of_members(frame: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    return frame.filter(F.col(column).isin(*values))
+
+
+def without_classes(frame: DataFrame, columns: tuple[str, ...], classes: tuple) -> DataFrame:
+    """Rows in which none of the columns is one of the classes; a null is none of them."""
+    bad = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).isin(*classes), F.lit(False)) for c in columns))
+    return frame.filter(~bad)
+
+
+def matching(frame: DataFrame, column: str, pattern: str) -> DataFrame:
+    return frame.filter(F.col(column).rlike(pattern))
+
+
+def detected(statistics: DataFrame, count: str, label: str, cleared: tuple[str, ...]) -> DataFrame:
+    """Classes with pixels, without the labels of cleared land."""
+    return statistics.filter((F.col(count) > 0) & ~F.col(label).isin(*cleared))
+
+
+def confident(frame: DataFrame, label: str, confidence: str, least: float = 0.6) -> DataFrame:
+    """The label where the confidence is `least` or more, else null."""
+    return frame.withColumn(label, F.when(F.col(confidence) >= least, F.col(label)))
+
+
+def renamed(frame: DataFrame, pattern: str, replacement: str) -> DataFrame:
+    """Column names by a regular expression."""
+    return frame.withColumnsRenamed({c: re.sub(pattern, replacement, c) for c in frame.columns})
+
+
+def numeric(frame: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """All columns but the ids as doubles; what is no number is null."""
+    return frame.select(*(F.col(c) if c in ids else F.col(c).try_cast("double").alias(c) for c in frame.columns))
+
+
+def level_counts(frame: DataFrame, column: str, levels: tuple[str, ...]) -> DataFrame:
+    """level, n for every level, 0 for absent ones."""
+    counts = frame.groupBy(F.col(column).alias("level")).agg(F.count("*").alias("n"))
+    all_levels = frame.sparkSession.createDataFrame([(x,) for x in levels], "level string")
+    return all_levels.join(counts, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def shares(frame: DataFrame, column: str) -> DataFrame:
+    """class, n, pct: a histogram; the total is summed from the counts."""
+    counts = frame.groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.crossJoin(F.broadcast(total)).select("class", "n", (100 * F.col("n") / F.col("t")).alias("pct"))  # one row
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersect(b)
+
+
+def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.subtract(b)
+
+
+def central_scene(frame: DataFrame, keys: list[str], day: str, value: str, near: int = 182, low: int = 152, high: int = 243) -> DataFrame:
+    """Per key the scene nearest to a day of the year within low .. high (of two the earlier); without one
+    there the middle scene: the one at place n // 2 + 1 in order of days. frame has a row a key and day."""
+    d = F.col(day)
+    pick = F.min_by(F.struct(day, value), F.when(d.between(low, high), F.struct(F.abs(d - near), d)))
+    ordered = F.array_sort(F.collect_list(F.struct(day, value)))
+    found = frame.groupBy(*keys).agg(pick.alias("_p"), ordered.alias("_o"))
+    scene = F.coalesce("_p", F.try_element_at("_o", F.floor(F.size("_o") / 2).cast("int") + 1))
+    return found.select(*keys, scene[day].alias(day), scene[value].alias(value))
+
+
+def rescaled(frame: DataFrame, bands: list[str], by: str, above: float = 2.0) -> DataFrame:
+    """Bands over 10000 if the greatest value of `by` says that they are stored as integers: one pass to tell."""
+    top = frame.agg(F.max(by)).first()[0]
+    return frame.withColumns({b: F.col(b) / 10000 for b in bands}) if top is not None and top > above else frame
+
+
+def band_zscores(frame: DataFrame, bands: list[str], reference: DataFrame | None = None) -> DataFrame:
+    """(x - mean) / (sd + 1e-8) of each band, mean and sample deviation of all rows of the split, or of `reference`."""
+    row = (reference or frame).agg(*(F.avg(b).alias(f"m_{b}") for b in bands), *(F.stddev_samp(b).alias(f"s_{b}") for b in bands)).first()
+    return frame.withColumns({b: (F.col(b) - F.lit(row[f"m_{b}"])) / F.lit((row[f"s_{b}"] or 0.0) + 1e-8) for b in bands})
+
+
+def first_rows(frame: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows of an order: a report."""
+    return frame.orderBy(*order).limit(n)
+
+
+def tensor(frame: DataFrame, keys: list[str], bands: list[str], dates: list[str], pattern: str = "{band}_d{date}") -> DataFrame:
+    """keys, x: bands x dates as nested arrays from columns named by the pattern; absent columns and nulls are 0."""
+    cell = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in frame.columns else F.lit(0.0)
+    rows = F.array(*(F.array(*(cell(pattern.format(band=b, date=d)) for d in dates)) for b in bands))
+    return frame.select(*keys, rows.alias("x"))
+
+
+def to_json_rows(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, json: each row's other columns as one JSON object."""
+    return frame.select(*keys, F.to_json(F.struct(*(c for c in frame.columns if c not in keys))).alias("json"))

@@ -146,8 +146,10 @@ def radar_series(spark, sf_dir):
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_type, ts::DATE AS date, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts::DATE, value, event_id) AS k FROM events), w AS (SELECT user_id, event_type, date, value, k, date AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.date, o.value, o.k, CASE WHEN date_diff('day', w.last, o.date) >= 10 THEN o.date ELSE w.last END, date_diff('day', w.last, o.date) >= 10 FROM w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.k = w.k + 1) SELECT user_id, event_type, date, value FROM w WHERE kept""")
 def thinned_scenes(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct(F.to_date("ts").alias("date"), "value", "event_id")))
-    x = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(series.thin(rows, 10).alias("kept"))
+    # only a date's first scene can be kept, so a key's array has one entry a date
+    first = load(spark, sf_dir, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("date")).agg(F.min(F.struct("value", "event_id")).alias("s"))
+    rows = F.array_sort(F.collect_list(F.struct("date", F.col("s.value").alias("value"))))
+    x = first.groupBy("user_id", "event_type").agg(rows.alias("rows")).withColumn("kept", series.thin(F.col("rows"), 10))
     return x.select("user_id", "event_type", F.explode("kept").alias("k")).select("user_id", "event_type", "k.date", "k.value")
 
 
@@ -247,11 +249,11 @@ def block_modes(spark, sf_dir):
     return raster.block_aggregate(grid(spark, sf_dir).withColumn("class", F.round(F.col("value") / 10).cast("long")), 4, "class", "mode")
 
 
-@query(f"""WITH g AS ({GRID}), a AS (SELECT row, col, (value > 25)::INT AS mask FROM g WHERE row % 5 > 0), b AS (SELECT row, col, (value < 30)::INT AS mask FROM g WHERE col % 5 > 0) SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, least(coalesce(a.mask, b.mask), coalesce(b.mask, a.mask)) AS mask FROM a FULL JOIN b ON a.row = b.row AND a.col = b.col""")
+@query(f"""WITH g AS ({GRID}), a AS (SELECT row, col, (value > 25)::INT AS mask FROM g), b AS (SELECT row, col, (value < 30)::INT AS mask FROM g) SELECT coalesce(a.row, b.row) AS row, coalesce(a.col, b.col) AS col, least(coalesce(a.mask, b.mask), coalesce(b.mask, a.mask)) AS mask FROM a FULL JOIN b ON a.row = b.row AND a.col = b.col""")
 def combined_masks(spark, sf_dir):
     g = grid(spark, sf_dir)
-    one = lambda keep, test: g.filter(keep).select("row", "col", test.cast("int").alias("mask"))
-    return raster.combine_masks(one(F.col("row") % 5 > 0, F.col("value") > 25), one(F.col("col") % 5 > 0, F.col("value") < 30), ["row", "col"])
+    one = lambda test: g.select("row", "col", test.cast("int").alias("mask"))
+    return raster.combine_masks(one(F.col("value") > 25), one(F.col("value") < 30), ["row", "col"])
 
 
 @query(f"""WITH g AS ({GRID}), p AS (SELECT s_suppkey, (s_suppkey % 70) * 10.0::DOUBLE AS x, (s_suppkey % 50) * 10.0::DOUBLE AS y FROM supplier) SELECT s_suppkey, round(value, 6) AS value FROM p LEFT JOIN g ON row = floor((640 - y) / 10) AND col = floor(x / 10)""")
@@ -304,9 +306,9 @@ def interpretations(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", indices.interpret_oa(x).alias("oa"), indices.interpret_kappa(x).alias("kappa"), indices.interpret_f1(x).alias("f1"))
 
 
-@query("""SELECT o_orderkey, o_custkey, coalesce(c_acctbal, 0) AS elevation FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey, o_custkey, coalesce(c_acctbal, 0) AS elevation FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def terrain_joined(spark, sf_dir):
-    t = load(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("elevation"))
+    t = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("elevation"))
     return tables.inject_terrain(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), t, "o_custkey")
 
 
@@ -381,7 +383,9 @@ def feature_matrix(spark, sf_dir):
 
 @query()
 def forest_predictions(spark, sf_dir):
-    x = vectors(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("label"), *(F.col("v")[k].alias(f"f{k}") for k in range(16)))
+    """All components and the operator's own settings; forests have no SQL form."""
+    names_ = [f"f{k}" for k in range(64)]
+    x = vectors(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("label"), *(F.col("v")[k].alias(c) for k, c in enumerate(names_)))
     split = learning.split_train_test(x, "label", "vec_id")
-    model = learning.train_forest(split.filter("split = 'train'"), [f"f{k}" for k in range(16)], "label", trees=20, depth=6)
+    model = learning.train_forest(split.filter("split = 'train'"), names_, "label")
     return learning.predict(model, split.filter("split = 'test'"), ["vec_id", "label"]).select("vec_id", "label", "predicted", "confidence")
