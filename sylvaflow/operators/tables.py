@@ -130,10 +130,11 @@ def to_long(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 def row_zscore(frame: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Each value less its row's mean over its row's sample deviation."""
-    row = F.array(*(F.col(c).cast("double") for c in values))
-    m = F.aggregate(row, F.lit(0.0), lambda s, x: s + x) / len(values)
-    sd = F.sqrt(F.aggregate(row, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / (len(values) - 1))
-    return frame.select(*keys, *(F.try_divide(F.col(c) - m, sd).alias(c) for c in values))
+    rows = frame.withColumn("_row", F.array(*(F.col(c).cast("double") for c in values)))
+    rows = rows.withColumn("_m", F.aggregate("_row", F.lit(0.0), lambda s, x: s + x) / len(values))
+    spread = F.aggregate("_row", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m")))
+    rows = rows.withColumn("_sd", F.sqrt(spread / (len(values) - 1)))
+    return rows.select(*keys, *(F.try_divide(F.col(c) - F.col("_m"), "_sd").alias(c) for c in values))
 
 
 def ranked(frame: DataFrame, order: str, name: str, n: int) -> DataFrame:
