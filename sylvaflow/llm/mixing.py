@@ -149,10 +149,12 @@ def _rate(posterior: Column, steps: list[list[float]]) -> Column:
     return reduce(lambda r, d: F.greatest(F.lit(0.0), r - dot(d)), steps, F.lit(1.0))
 
 
-def solve(members: DataFrame, weights: dict[str, float], total: float | None = None) -> list[list[float]]:
+def solve(members: DataFrame, weights: dict[str, float], total: float | None = None, growth: float | None = None) -> list[list[float]]:
     """Steps to the rates of members(n_tokens, posterior). Domains without weight have target 0, and
     domains without expected tokens are left out. total: tokens wanted. None: the domain of the
-    greatest weight keeps all its tokens, and the others shrink or grow to their proportion of that. Warns
+    greatest weight keeps all its tokens, and the others shrink or grow to their proportion of that. growth:
+    no domain is to get more than so many times its tokens, so that with 1 none is repeated; one that would
+    need more stays below its weight. Warns
     where no rates meet the targets, as when a domain has no text of its own; the rates are then those of
     the steps so far, which bring the sum of squares down."""
     k = len(DOMAINS)
@@ -173,7 +175,10 @@ def solve(members: DataFrame, weights: dict[str, float], total: float | None = N
                 return steps
             share = share / share.sum()
             first = int(share.argmax())
-            target = share * total if total is not None else share * now[first] / share[first]
+            target = share * (total if total is not None else now[first] / share[first])
+            if growth is not None and (short := target > growth * now * (1 + TOLERANCE)).any():
+                warnings.warn(f"mixing: {[d for d, x in zip(DOMAINS, short) if x]} would have to grow over {growth} times", stacklevel=2)
+                target = np.minimum(target, growth * now)
         missed = float(np.abs(now - target).max())
         if missed <= TOLERANCE * max(target.sum(), 1.0):
             return steps
@@ -194,7 +199,7 @@ def _members(docs: DataFrame, model: Classifier) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(members, "doc_id long, n_tokens long, posterior array<double>"), "members")
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, growth: float | None = None) -> DataFrame:
     """doc_id, n_tokens (words), posterior (of DOMAINS), rate of every row of docs(doc_id, text).
 
     Null and empty texts have no tokens and move no total; their rate is 1.
@@ -202,15 +207,15 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     without usable labels all posteriors are equal. Other columns are ignored.
     """
     members = _members(docs, fit_classifier(docs, labels))
-    rate = _rate(F.col("posterior"), solve(members, weights, total))
+    rate = _rate(F.col("posterior"), solve(members, weights, total, growth))
     return members.withColumn("rate", F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, seed: int = 11) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, growth: float | None = None, seed: int = 11) -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says: the whole part of the rate, and once
     more if a hash of its id and text falls below the rest. Without shuffle of the texts."""
     model = fit_classifier(docs, labels)
-    steps = solve(_members(docs, model), weights, total)
+    steps = solve(_members(docs, model), weights, total, growth)
     name = "rate"
     while name in docs.columns:
         name += "_"
