@@ -3,11 +3,13 @@ import json
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from sylvaflow.functions import series
 from sylvaflow.operators import evaluation, features, learning, raster, tables
 from sylvaflow.sources import readers
+from sylvaflow.streaming.thinning import windowed_statistics
 
 
 def test_spline_is_that_of_a_dense_solve():
@@ -101,3 +103,16 @@ def test_synthetic_features(spark):
     rows = features.feature_matrix(plots, ["B02", "B03", "B04", "B05", "B08", "B11", "B12"], year=2021).collect()
     by = {r.plot_id: r for r in rows}
     assert len(rows) == 4 and by["sp01_001"].pheno_amplitude > 0.3 > by["sp02_001"].NDVI_sd
+
+
+def test_windows_on_a_stream_are_those_of_the_batch(spark, tmp_path):
+    """The stream's own times are without zone; late rows are kept as long as their window is open."""
+    batch = spark.read.parquet(f"{SMALL}/events.parquet")
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    found = windowed_statistics(stream, "ts", ["event_type"], "value")
+    run = found.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    key = lambda r: (str(r["start"]), r["event_type"], r["n"], round(r["mean"], 6))
+    want = windowed_statistics(batch.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value")
+    assert sorted(map(key, spark.table("windows").collect())) == sorted(map(key, want.collect()))
