@@ -173,7 +173,9 @@ class ItemIndex:
 
 
 def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The distinct items with id and text, so that copies of one don't make its slice large."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.filter("item_id is not null and text <> ''").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     number = total * 5 // (SLICE * 4) + 1
     for k in range(number):
@@ -186,8 +188,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
     similarity is `least` or more. Documents without one have no row.
 
     Words are lower-cased (A-Z). Null or empty texts and items with fewer than five words match
-    nothing; a document without id keeps a null doc_id; repeated rows are found each; an empty table
-    on either side gives an empty result; other columns are ignored.
+    nothing, as do items without id; a document without id keeps a null doc_id; repeated documents are
+    found each, repeated items once, and texts that share an item_id each; an empty table on either side
+    gives an empty result; other columns are ignored.
     """
     out = None
     for items in _slices(benchmark):

@@ -190,6 +190,15 @@ def test_leaks_at_the_threshold_are_found(spark):
     assert len(want) > 40 and got == want, (len(got), len(want))
 
 
+def test_repeated_items_are_one(spark):
+    item, other = (" ".join(f"{c}{k}" for k in range(20)) for c in "ab")
+    items = spark.createDataFrame([(1, item)] * 50 + [(1, other), (2, item), (None, item), (3, None), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"x {item} y {other}"), (7, item), (None, other), (8, "none of it")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.start_word, r.n_words, r.similarity) for r in leaks(docs, items).collect()), key=str)
+    assert got == [(7, 1, 0, 20, 1.0), (7, 1, 1, 20, 1.0), (7, 1, 22, 20, 1.0), (7, 2, 0, 20, 1.0), (7, 2, 1, 20, 1.0), (None, 1, 0, 20, 1.0)]
+    assert [r.doc_id for r in without_leaks(docs, items).collect()] == [8]
+
+
 def test_surrogates(spark):
     text = "Mail John.Doe12@mail3.Example.com or JOHN.DOE12@mail3.example.com, +1 (743) 555-3824 or 743-555-3824, 4111 1111 1111 1111, id 4111111111111112, from 8.196.197.208, token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\". Mrs Anna Schmidt met Mr Schmidt. господин Петров"
     docs = spark.createDataFrame([(1, text), (1, text), (2, "nothing of that kind"), (3, None)], "doc_id long, text string")
