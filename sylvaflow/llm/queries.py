@@ -13,6 +13,7 @@ from sylvaflow.llm.lm_score import cross_entropy_difference, target_documents
 from sylvaflow.llm.mixing import DOMAINS, mixing_rates
 from sylvaflow.llm.near_dup import near_duplicates
 from sylvaflow.llm.pii import with_surrogates
+from sylvaflow.llm.prefix_trie import TRIE_SQL, prefix_trie
 from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
 from sylvaflow.llm.token_blocks import read_blocks, write_blocks
@@ -76,9 +77,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(_table(spark, sf_dir, "embeddings"), components=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_surrogates, op4_license_scan, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing, op13_whitening)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_surrogates, op4_license_scan, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing, op12_prefix_trie, op13_whitening)}
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": TRIE_SQL}
