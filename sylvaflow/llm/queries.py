@@ -18,6 +18,7 @@ from sylvaflow.llm.quality import quality
 from sylvaflow.llm.tables import shared_path
 from sylvaflow.llm.token_blocks import read_blocks, write_blocks
 from sylvaflow.llm.token_counts import token_counts
+from sylvaflow.llm.toxicity import toxicity
 from sylvaflow.llm.whitening import whitened
 
 #: Shares of the tokens that each domain shall have.
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -85,5 +90,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(_table(spark, sf_dir, "embeddings"), components=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_surrogates, op4_license_scan, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing, op12_prefix_trie, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dup, op3_surrogates, op4_license_scan, op5_lm_score, op6_token_counts, op7_main_text, op8_quality_rules, op9_token_blocks, op10_mixing, op11_toxicity, op12_prefix_trie, op13_whitening)}
 ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": TRIE_SQL}
