@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvaflow.functions.indices import topographic_wetness
+from sylvaflow.operators.graphs import jumped
 from sylvaflow.operators.raster import slope_aspect
 from sylvaflow.operators.stages import stored
+from sylvaflow.operators.tiling import tile_array, to_tiles
 
 #: Neighbours from the east, against the clock; even ones share a side.
 NEAR = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
@@ -32,20 +34,6 @@ OUTSIDE = -1
 _HALF = 1 << 19
 
 
-def _to_tiles(grid: DataFrame, size: int, margin: int, *columns: str) -> DataFrame:
-    """Each cell under its own tile and under those in whose margin it lies, at most three more."""
-    span = lambda c: F.sequence(F.floor((F.col(c) - margin) / size), F.floor((F.col(c) + margin) / size))
-    return grid.withColumn("tr", F.explode(span("row"))).withColumn("tc", F.explode(span("col"))).select("tr", "tc", "row", "col", *columns)
-
-
-def _array(group: pd.DataFrame, column: str, size: int, margin: int) -> np.ndarray:
-    """A tile's column with its margin; absent cells are NaN."""
-    out = np.full((size + 2 * margin,) * 2, np.nan)
-    r, c = group["row"].to_numpy() - group["tr"].iat[0] * size + margin, group["col"].to_numpy() - group["tc"].iat[0] * size + margin
-    out[r, c] = group[column].to_numpy(float)
-    return out
-
-
 def _node(tr: Column | int, tc: Column | int, label):
     return ((tr + _HALF) << 43) + ((tc + _HALF) << 23) + label
 
@@ -97,7 +85,7 @@ def flooded(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[tuple[int, int]
 def _flood_tile(size: int):
     def flood(group: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(group["tr"].iat[0]), int(group["tc"].iat[0])
-        height, basin, meets = flooded(_array(group, "value", size, 1))
+        height, basin, meets = flooded(tile_array(group, "value", size, 1))
         r, c = np.nonzero(basin >= 0)
         cells = pd.DataFrame({"edge": False, "row": r + tr * size, "col": c + tc * size, "a": _node(tr, tc, basin[r, c].astype(np.int64)), "b": 0, "z": height[r, c]})
         name = lambda k: OUTSIDE if k == OUTSIDE else _node(tr, tc, k)
@@ -123,12 +111,7 @@ def _minimax(edges: DataFrame) -> DataFrame:
         back = to.select(F.col("a").alias("up"), F.col("up").alias("over"))
         pair = (F.col("over") == F.col("a")) & (F.col("a") < F.col("up"))
         top = stored(to.join(back, "up", "left").select("a", F.when(pair, F.col("a")).otherwise(F.col("up")).alias("up"), "z"), "joins")
-        while True:  # each pointer skips to its target's target
-            nxt = top.select(F.col("a").alias("up"), F.col("up").alias("over"))
-            moved = stored(top.join(nxt, "up", "left").select("a", F.coalesce("over", "up").alias("new"), "z", (F.coalesce("over", "up") != F.col("up")).alias("moved")), "joins")
-            top = moved.select("a", F.col("new").alias("up"), "z")
-            if moved.filter("moved").isEmpty():
-                break
+        top = jumped(top)
         step = top.select(F.col("a").alias("at"), "up", "z")
         nodes = stored(nodes.join(step, "at", "left").select("node", F.coalesce("up", "at").alias("at"), F.greatest("level", "z").alias("level")), "basins")
         end = lambda c: top.select(F.col("a").alias(c), F.col("up").alias(f"{c}2"))
@@ -146,7 +129,7 @@ def fill_depressions(grid: DataFrame, size: int = 512) -> DataFrame:
     """
     cells = grid.filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).groupBy("row", "col").agg(F.min(F.col("value").cast("double")).alias("value"))
     cells = stored(cells, "heights")
-    tiled = _to_tiles(cells, size, 1, "value")
+    tiled = to_tiles(cells, size, 1, "value")
     kind = "edge boolean, row long, col long, a long, b long, z double"
     own = tiled.groupBy("tr", "tc").agg(F.count("*")).limit(1)  # an empty grid has no tiles
     if own.isEmpty():
@@ -209,7 +192,7 @@ def _flat_cells(size: int):
 
     def flats(group: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(group["tr"].iat[0]), int(group["tc"].iat[0])
-        z = _array(group, "filled", size, 2)
+        z = tile_array(group, "filled", size, 2)
         facet, _, edge = facets(z)  # of the tile and one cell around it
         inner = z[1:-1, 1:-1]
         level = ~np.isnan(inner) & (facet < 0)
@@ -226,7 +209,7 @@ def _flat_cells(size: int):
 def _flat_round(size: int):
     def relax(group: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(group["tr"].iat[0]), int(group["tc"].iat[0])
-        z, steps = _array(group, "filled", size, 1), _array(group, "steps", size, 1)
+        z, steps = tile_array(group, "filled", size, 1), tile_array(group, "steps", size, 1)
         new = _spread_in_flats(z, np.where(np.isinf(steps), np.nan, steps))
         r, c = np.nonzero(~np.isnan(z[1:-1, 1:-1]))
         before, after = steps[1:-1, 1:-1][r, c], new[1:-1, 1:-1][r, c]
@@ -239,9 +222,9 @@ def _flats(filled: DataFrame, size: int) -> DataFrame:
     """(row, col, steps) of each cell that no facet leaves: steps over its flat to the nearest outlet. Rounds
     pass steps over tile borders until none falls; only cells of flats take part."""
     kind = "row long, col long, filled double, steps double"
-    now = stored(_to_tiles(filled, size, 2, "filled").groupBy("tr", "tc").applyInPandas(_flat_cells(size), kind), "flats")
+    now = stored(to_tiles(filled, size, 2, "filled").groupBy("tr", "tc").applyInPandas(_flat_cells(size), kind), "flats")
     while True:
-        tiled = _to_tiles(now, size, 1, "filled", "steps").groupBy("tr", "tc")
+        tiled = to_tiles(now, size, 1, "filled", "steps").groupBy("tr", "tc")
         moved = stored(tiled.applyInPandas(_flat_round(size), f"{kind}, fell boolean"), "flats")
         now = moved.drop("fell")
         if moved.filter("fell").isEmpty():
@@ -275,7 +258,7 @@ def _flow_tile(size: int):
 
     def flow(group: pd.DataFrame) -> pd.DataFrame:
         tr, tc = int(group["tr"].iat[0]), int(group["tc"].iat[0])
-        z, steps = _array(group, "filled", size, 2), _array(group, "steps", size, 2)
+        z, steps = tile_array(group, "filled", size, 2), tile_array(group, "steps", size, 2)
         first, second, part = _receivers(z, steps)
         n = size + 2  # the tile and one cell around it
         own = np.zeros((n, n), bool)
@@ -370,7 +353,7 @@ def flow_accumulation(filled: DataFrame, size: int = 512) -> DataFrame:
     included, shares counting as shares. Cells without an outlet downhill drain to the outside."""
     cells = stored(filled.select("row", "col", "filled"), "filled")
     flow_in = cells.join(_flats(cells, size), ["row", "col"], "left")
-    found = stored(_to_tiles(flow_in, size, 2, "filled", "steps").groupBy("tr", "tc").applyInPandas(_flow_tile(size), _FLOW), "flow")
+    found = stored(to_tiles(flow_in, size, 2, "filled", "steps").groupBy("tr", "tc").applyInPandas(_flow_tile(size), _FLOW), "flow")
     links = stored(found.filter("kind = 2").select("row", "col", "to_row", "to_col", "part"), "links")
     to = [F.col("to_row").alias("row"), F.col("to_col").alias("col")]
     new = stored(found.filter("kind = 1").groupBy(*to).agg(F.sum("part").alias("amount")), "inflow")
