@@ -77,9 +77,9 @@ def topographic_wetness(area: Column, tan_slope: Column, most: float = 20.0) ->
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # f(x) with x evaluated once, not for each entry
+    shares = lambda raised: once(F.aggregate(raised, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(raised, lambda x: x / total))
+    return once(F.array_max(scores), lambda top: once(F.transform(scores, lambda x: F.exp(x - top)), shares))
 
 
 def shannon(p: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvaflow.operators.quantiles import column_quantiles
+
 
 def forest_mask(value: Column, binary: bool, classes: tuple[int, ...] = (16, 17)) -> Column:
     """1 where forest: a binary layer as it is, else by land-cover class; null is 0."""
@@ -99,10 +101,15 @@ def in_polygon(x: Column, y: Column, vertices: list[tuple[float, float]]) -> Col
     return crossings % 2 == 1
 
 
-def stretch(pixels: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Linear stretch between two percentiles, clamped to 0..1. Percentiles of a whole layer are merged
-    sketches (approx_percentile), so no task holds the layer."""
-    row = pixels.agg(F.percentile_approx(value, [low, high], 10000).alias("q")).first()
-    a, b = row["q"] if row["q"] else (0.0, 0.0)
-    x = (F.col(value) - F.lit(float(a))) / F.lit(float(b - a)) if b > a else F.lit(0.5)
-    return pixels.withColumn("stretched", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+def stretch(pixels: DataFrame, values: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """The layers stretched linearly between two of their exact percentiles, clamped to 0..1; a layer whose
+    percentiles are equal is 0.5, null stays null."""
+    bounds = column_quantiles(pixels, values, [low, high])
+
+    def stretched(c: str) -> Column:
+        a, b = bounds[c]
+        x = F.col(c).cast("double")
+        scaled = (x - F.lit(a)) / F.lit(b - a) if a is not None and b > a else F.lit(0.5)
+        return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
+
+    return pixels.withColumns({c: stretched(c) for c in values})

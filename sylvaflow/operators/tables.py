@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylvaflow.operators.quantiles import column_quantiles
+
 DIMENSION_ROWS = 100_000
 
 
@@ -105,8 +107,8 @@ def drop_constant(frame: DataFrame, columns: list[str]) -> list[str]:
 
 def impute_median(frame: DataFrame, columns: list[str], reference: DataFrame | None = None) -> DataFrame:
     """Nulls as the exact median of the batch, or of `reference`; columns without values become 0."""
-    row = (reference or frame).agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
-    return frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(row[c] if row[c] is not None else 0.0))) for c in columns})
+    median = {c: found[0] for c, found in column_quantiles(reference or frame, columns, [0.5]).items()}
+    return frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(median[c] if median[c] is not None else 0.0)) for c in columns})
 
 
 def normalise(frame: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvaflow.functions import indices, names, series
-from sylvaflow.operators import features, learning, raster, tables
+from sylvaflow.operators import features, learning, quantiles, raster, tables
 from sylvaflow.plans.queries import BAND_SQL, GRID, ORACLE_SQL, POINTS, grid, load, pixels, query, r6, vectors
 from sylvaflow.sources import readers
 
@@ -150,8 +150,10 @@ def profiles_by_type(spark, sf_dir):
 
 @query("""SELECT l_returnflag, dayofyear(l_shipdate)::INT AS doy, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.25), 6) AS q25, round(quantile_cont(l_quantity, 0.75), 6) AS q75 FROM lineitem GROUP BY ALL""")
 def quartiles_by_day(spark, sf_dir):
-    q = F.col("l_quantity")
-    return r6(load(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.dayofyear("l_shipdate").alias("doy")).agg(F.avg(q).alias("mean"), F.percentile(q, F.lit(0.25)).alias("q25"), F.percentile(q, F.lit(0.75)).alias("q75")))
+    keys = ["l_returnflag", "doy"]
+    x = load(spark, sf_dir, "lineitem").select("l_returnflag", F.dayofyear("l_shipdate").alias("doy"), "l_quantity")
+    q = quantiles.group_quantiles(x, keys, "l_quantity", {"q25": 0.25, "q75": 0.75})
+    return r6(x.groupBy(*keys).agg(F.avg("l_quantity").alias("mean")).join(q, keys))
 
 
 @query(f"""SELECT label, {", ".join(f"round(avg(embedding[{k + 1}]::DOUBLE), 6) AS NDVI_{k}" for k in range(64))} FROM embeddings GROUP BY 1""")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from sylvaflow.plans import report_queries, terrain_queries  # noqa: F401
+from sylvaflow.plans import map_queries, report_queries, terrain_queries  # noqa: F401
 from sylvaflow.plans.queries import ORACLE_SQL, QUERIES
 
 
