@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet below spark.checkpoint.dir and read back: computed once, and whole after
-    the loss of an executor. Unset, a local session uses /tmp; on a cluster that is an error."""
-    spark = frame.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir. Unset, a local session uses /tmp; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "/tmp/checkpoints"
-    path = f"{folder}/{name}-{uuid4().hex}"
+    return f"{folder}/{name}-{uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written as Parquet and read back: computed once, and whole after the loss of an executor."""
+    spark = frame.sparkSession
+    path = shared_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

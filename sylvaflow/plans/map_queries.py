@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvaflow.operators import polygons, raster, zones
-from sylvaflow.plans.queries import GRID, grid, load, query, r6
+from sylvaflow.operators.stages import shared_path
+from sylvaflow.plans.queries import GRID, grid, load, query, r6, vectors
 from sylvaflow.plans.terrain_queries import SIZE
+from sylvaflow.sources.arrays import read_npy, write_npy
+from sylvaflow.sources.rasters import read_raster, write_raster
 
 CLASSES = f"SELECT row, col, round(value / 4)::INT AS class FROM ({GRID})"
 
@@ -85,3 +88,25 @@ def buffer_means(spark, sf_dir):
 def stretched_layers(spark, sf_dir):
     x = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_tax")
     return r6(raster.stretch(x, ["l_extendedprice", "l_tax"]))
+
+
+# --- files ----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT row, col, col * 10.0::DOUBLE + 5 AS x, 635.0::DOUBLE - row * 10 AS y, value, floor(value)::DOUBLE AS whole FROM ({GRID}) WHERE row BETWEEN 17 AND 40 AND col >= 30")
+def raster_window(spark, sf_dir):
+    """The grid written as tiled raster files, and a window read back by tiles."""
+    path = shared_path(spark, "raster")
+    g = grid(spark, sf_dir).withColumn("whole", F.floor("value"))
+    write_raster(g, path, ["value", "whole"], 0.0, 640.0, 10.0, 16)
+    window = read_raster(spark, path).filter("y <= 465 AND y >= 235 AND x >= 305")
+    return window.select(F.round((635 - F.col("y")) / 10).cast("long").alias("row"), F.round((F.col("x") - 5) / 10).cast("long").alias("col"), "x", "y", F.col("band_1").alias("value"), F.col("band_2").alias("whole"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, len(embedding)::INT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS squares FROM embeddings")
+def array_rows(spark, sf_dir):
+    """The embeddings written as .npy files of row ranges, and read back. Their ids number them from 0."""
+    path = shared_path(spark, "array")
+    write_npy(vectors(spark, sf_dir).select(F.col("vec_id").alias("row"), F.col("v").alias("values")), path, "float32", parts=4)
+    back = read_npy(spark, path, range_bytes=16_000)
+    return r6(back.select("row", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x).alias("squares")))
