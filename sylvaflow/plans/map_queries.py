@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sylvaflow.operators import polygons, raster, zones
+from sylvaflow.functions.projections import to_lambert93, to_wgs84
+from sylvaflow.operators import polygons, raster, resampling, zones
 from sylvaflow.operators.stages import shared_path
 from sylvaflow.plans.queries import GRID, grid, load, query, r6, vectors
 from sylvaflow.plans.terrain_queries import SIZE
 from sylvaflow.sources.arrays import read_npy, write_npy
+from sylvaflow.sources.cache import cached
 from sylvaflow.sources.rasters import read_raster, write_raster
 
 CLASSES = f"SELECT row, col, round(value / 4)::INT AS class FROM ({GRID})"
@@ -110,3 +112,55 @@ def array_rows(spark, sf_dir):
     write_npy(vectors(spark, sf_dir).select(F.col("vec_id").alias("row"), F.col("v").alias("values")), path, "float32", parts=4)
     back = read_npy(spark, path, range_bytes=16_000)
     return r6(back.select("row", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x * x).alias("squares")))
+
+
+# --- other grids ----------------------------------------------------------------------------------------
+
+#: The grid of 64 x 64 cells of 10 m, and one of 7 m that begins 3 m further and ends beyond it.
+AT, TO = resampling.Frame(0.0, 640.0, 10.0, 64, 64), resampling.Frame(3.0, 637.0, 7.0, 95, 93)
+CENTRES = "t AS (SELECT r AS row, c AS col, (640 - (637 - (r + 0.5) * 7)) / 10.0::DOUBLE AS fy, (3 + (c + 0.5) * 7) / 10.0::DOUBLE AS fx FROM range(95) a(r) CROSS JOIN range(93) b(c))"
+
+
+@query(f"WITH g AS ({GRID}), {CENTRES}, n AS (SELECT t.row, t.col, floor(fy - 0.5) + dr AS r, floor(fx - 0.5) + dc AS c, CASE dr WHEN 1 THEN (fy - 0.5) - floor(fy - 0.5) ELSE 1 - (fy - 0.5) + floor(fy - 0.5) END * CASE dc WHEN 1 THEN (fx - 0.5) - floor(fx - 0.5) ELSE 1 - (fx - 0.5) + floor(fx - 0.5) END AS w FROM t CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS dr, unnest([0, 1, 0, 1]) AS dc)) SELECT n.row, n.col, round(sum(w * value) / sum(w), 10) AS value FROM n JOIN g ON g.row = r AND g.col = c AND w > 0 GROUP BY ALL")
+def resampled_grid(spark, sf_dir):
+    # weights of hundredths often end in a 5 at the seventh place, so these keep ten
+    return resampling.resample(grid(spark, sf_dir), "value", AT, TO, size=SIZE).withColumn("value", F.round("value", 10))
+
+
+@query(f"WITH g AS ({GRID}), {CENTRES}, n AS (SELECT row, col, floor(fy) AS r, floor(fx) AS c FROM t), near AS (SELECT n.row, n.col, value FROM n JOIN g ON g.row = r AND g.col = c), two AS (SELECT row, col, value FROM near UNION ALL SELECT row, col, value + 1 FROM g WHERE row >= 32) SELECT row, col, round(avg(value), 6) AS value FROM two WHERE row BETWEEN 20 AND 70 AND col BETWEEN 10 AND 80 GROUP BY ALL")
+def mosaic_window(spark, sf_dir):
+    """A window of the mean of two grids, one of them moved to the other's cells."""
+    g = grid(spark, sf_dir)
+    one = resampling.resample(g, "value", AT, TO, "near", SIZE)
+    two = g.filter("row >= 32").withColumn("value", F.col("value") + 1)
+    return r6(resampling.cropped(resampling.mosaic([one, two], "value", "mean"), (20, 70), (10, 80)))
+
+
+@query("""WITH k AS (SELECT sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257222101::DOUBLE AS f)), u AS (SELECT e, cos(radians(49)) / sqrt(1 - pow(e * sin(radians(49)), 2)) AS m1, cos(radians(44)) / sqrt(1 - pow(e * sin(radians(44)), 2)) AS m2, tan(pi() / 4 - radians(49) / 2) / pow((1 - e * sin(radians(49))) / (1 + e * sin(radians(49))), e / 2) AS t1, tan(pi() / 4 - radians(44) / 2) / pow((1 - e * sin(radians(44))) / (1 + e * sin(radians(44))), e / 2) AS t2, tan(pi() / 4 - radians(46.5) / 2) / pow((1 - e * sin(radians(46.5))) / (1 + e * sin(radians(46.5))), e / 2) AS t0 FROM k),
+n AS (SELECT *, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS n FROM u), s AS (SELECT *, 6378137 * m1 / (n * pow(t1, n)) AS s FROM n),
+p AS (SELECT c_custkey, c_custkey % 140 / 10.0::DOUBLE - 4.5 AS lon, 42 + c_custkey % 90 / 10.0::DOUBLE AS lat FROM customer),
+r AS (SELECT c_custkey, lon, lat, s * pow(tan(pi() / 4 - radians(lat) / 2) / pow((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat))), e / 2), n) AS rho, n * radians(lon - 3) AS theta, s * pow(t0, n) AS rho0 FROM p CROSS JOIN s)
+SELECT c_custkey, round(700000 + rho * sin(theta), 3) AS x, round(6600000 + rho0 - rho * cos(theta), 3) AS y, round(lon, 9) AS lon, round(lat, 9) AS lat FROM r""")
+def projected_points(spark, sf_dir):
+    """Places in metres, and back in degrees."""
+    key = F.col("c_custkey")
+    p = load(spark, sf_dir, "customer").select(key, (key % 140 / 10 - 4.5).alias("lon"), (42 + key % 90 / 10).alias("lat"))
+    x, y = to_lambert93(F.col("lon"), F.col("lat"))
+    there = p.select(key, x.alias("x"), y.alias("y"))
+    lon, lat = to_wgs84(F.col("x"), F.col("y"))
+    return there.select(key, F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query(f"WITH g AS ({GRID}), {PLOTS}, m AS (SELECT s.plot_id, round(avg(value), 6) AS mean, count(value) AS n_cells FROM s LEFT JOIN crossed USING (plot_id) GROUP BY 1) SELECT plot_id, mean, n_cells, (SELECT count(*) FILTER (plot_id % 3 <> 0) FROM m) AS n_new FROM m")
+def terrain_cache(spark, sf_dir):
+    """Plots of which a third is in the cache: a first run computes these, a second one the others alone."""
+    path, shapes, made = shared_path(spark, "cache"), plots(spark, sf_dir), []
+
+    def compute(missing):
+        made.append(missing.count())
+        return r6(zones.zonal_statistics(grid(spark, sf_dir), shapes.join(missing, "plot_id", "leftsemi"), "plot_id", "value", 0.0, 640.0, 10.0))
+
+    ids = shapes.select("plot_id")
+    cached(ids.filter("plot_id % 3 = 0"), path, "plot_id", compute)
+    found = cached(ids, path, "plot_id", compute)
+    return found.withColumn("n_new", F.lit(made[-1]).cast("long"))
