@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from math import comb, floor, sqrt
+import random
+from math import comb, floor, gcd, sqrt
+from statistics import median
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvaflow.operators.evaluation import evaluation
+from sylvaflow.operators.stages import stored
 from sylvaflow.operators.tables import drop_constant, impute_median
 
 
@@ -101,31 +104,73 @@ def _tail(hits: int, runs: int) -> float:
     return sum(comb(runs, i) for i in range(hits, runs + 1)) / 2**runs
 
 
-def select_by_shadows(frame: DataFrame, features: list[str], label: str, key: str, runs: int = 20, trees: int = 200, p: float = 0.01, seed: int = 42) -> list[tuple[str, str, float]]:
-    """(feature, decision, mean importance): a feature is confirmed if it beats the best shuffled copy of any
-    feature in significantly many runs. A column's copy is shuffled by a join of the rows' places in two chance orders of the whole table."""
+def _numbered(frame: DataFrame, key: str, seed: int) -> DataFrame:
+    """frame with _i, a number from 0 to the number of rows less 1 in chance order; no task holds the column."""
+    return _ranked(frame.withColumn("_all", F.lit(0)), "_all", key, seed).withColumn("_i", F.col("_k").cast("long") - 1).drop("_all", "_k", "_n")
+
+
+def _bijections(columns: int, n: int, seed: int) -> list[tuple[int, int]]:
+    """Factors without a common divisor with n, and shifts: i to (factor * i + shift) modulo n meets each row once."""
+    chosen = random.Random(seed)
+    most, out = max(1, min(n - 1, (2**62) // max(n, 1))), []
+    while len(out) < columns:
+        factor = chosen.randint(1, most)
+        if gcd(factor, n) == 1:
+            out.append((factor, chosen.randrange(n)))
+    return out
+
+
+def with_shadows(numbered: DataFrame, n: int, shadows: list[str], seed: int) -> DataFrame:
+    """numbered(_i, ...) with shadow_0, shadow_1 ...: each a copy of a column whose values have changed rows by a
+    bijection of its own. Every row sends itself and each copied value to the rows they belong to, so one shuffle
+    serves all columns."""
+    keyed = _bijections(len(shadows), n, seed)
+    rest = [c for c in numbered.columns if c != "_i"]
+    none = F.lit(None)
+    own = F.struct(F.col("_i").alias("to"), F.lit(-1).alias("j"), F.lit(None).cast("double").alias("v"), F.struct(*rest).alias("row"))
+    kind = numbered.select(F.struct(*rest).alias("row")).schema["row"].dataType
+    sent = [F.struct(F.pmod(F.col("_i") * factor + shift, F.lit(n)).alias("to"), F.lit(j).alias("j"), F.col(c).cast("double").alias("v"), none.cast(kind).alias("row")) for j, (c, (factor, shift)) in enumerate(zip(shadows, keyed))]
+    dealt = numbered.select(F.explode(F.array(own, *sent)).alias("e")).select("e.*")
+    met = dealt.groupBy("to").agg(F.first("row", ignorenulls=True).alias("row"), F.sort_array(F.collect_list(F.when(F.col("j") >= 0, F.struct("j", "v")))).alias("s"))
+    return met.select("row.*", *(F.col("s")[j]["v"].alias(f"shadow_{j}") for j in range(len(shadows))))
+
+
+def select_by_shadows(frame: DataFrame, features: list[str], label: str, key: str, runs: int = 100, trees: int = 200, p: float = 0.01, seed: int = 42, depth: int = 8) -> list[tuple[str, str, float]]:
+    """(feature, decision, mean importance) by importance, constant features left out.
+
+    In each run a forest sees the features that aren't rejected and as many shadows, five at least. A feature has a
+    hit if it beats the best shadow; it is confirmed or rejected once its hits are too many or too few to be chance
+    at p over the number of features. Rejected ones drop out of further runs, and runs end when all are decided.
+    What is still open is confirmed if its median importance beats the median of the best shadows'. Nulls take the
+    median; rows are numbered once, and each run is one shuffle.
+    """
     usable = drop_constant(frame, features)
-    ready = impute_median(frame, usable).select(key, label, *usable)
-    hits, sums = dict.fromkeys(usable, 0), dict.fromkeys(usable, 0.0)
-    for run in range(runs):
-        # every column has an order of its own; rank() of a whole column comes from bucketed ranks, so no task holds it
-        place = lambda frame, seed_: _ranked(frame.withColumn("_all", F.lit(0)), "_all", key, seed_).drop("_all", "_n")
-        both = place(ready, 1_000_003 * (seed + run)).withColumnRenamed("_k", "_p")
-        for j, c in enumerate(usable):
-            other = place(ready.select(key, F.col(c).alias(f"shadow_{c}")), 1_000_003 * (seed + run) + j + 1).drop(key).withColumnRenamed("_k", "_p")
-            both = both.join(other, "_p")
-        model = train_forest(both, [*usable, *(f"shadow_{c}" for c in usable)], label, trees, depth=8, seed=seed + run, weight=False)
+    if not usable:
+        return []
+    ready = impute_median(frame.filter(F.col(label).isNotNull()), usable).select(key, label, *usable)
+    numbered = stored(_numbered(ready, key, seed), "numbered")
+    n, level = numbered.count(), p / len(usable)
+    hits, seen, decided, bars = dict.fromkeys(usable, 0), {c: [] for c in usable}, {}, []
+    for run in range(1, runs + 1):
+        active = [c for c in usable if decided.get(c) != "rejected"]
+        if all(c in decided for c in usable) or not active:
+            break
+        shadows = [active[k % len(active)] for k in range(max(5, len(active)))]
+        both = stored(with_shadows(numbered, n, shadows, seed * 1_000_003 + run), "shadows")
+        model = train_forest(both, [*active, *(f"shadow_{j}" for j in range(len(shadows)))], label, trees, depth=depth, seed=seed + run, weight=False)
         scores = dict(importance(model))
-        bar = max((v for c, v in scores.items() if c.startswith("shadow_")), default=0.0)
-        for c in usable:
-            sums[c] += scores.get(c, 0.0)
-            hits[c] += scores.get(c, 0.0) > bar
-    level = p / max(len(usable), 1)
-    out = []
+        bars.append(max((v for c, v in scores.items() if c.startswith("shadow_")), default=0.0))
+        for c in active:
+            seen[c].append(scores.get(c, 0.0))
+            hits[c] += seen[c][-1] > bars[-1]
+            if c not in decided and _tail(hits[c], run) < level:
+                decided[c] = "confirmed"
+            elif c not in decided and _tail(run - hits[c], run) < level:
+                decided[c] = "rejected"
     for c in usable:
-        decision = "confirmed" if _tail(hits[c], runs) < level else "rejected" if _tail(runs - hits[c], runs) < level else "tentative"
-        out.append((c, decision, sums[c] / runs))
-    return sorted(out, key=lambda x: (-x[2], x[0]))
+        decided.setdefault(c, "confirmed" if seen[c] and median(seen[c]) > median(bars) else "rejected")
+    mean = {c: sum(v) / len(v) if v else 0.0 for c, v in seen.items()}
+    return sorted(((c, decided[c], mean[c]) for c in usable), key=lambda x: (-x[2], x[0]))
 
 
 def features_per_split(n: int) -> int:

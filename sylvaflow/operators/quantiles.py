@@ -14,13 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvaflow.operators.stages import stored
 
 #: Bins of an interval in one round.
 BINS = 512
+#: Values between bounds, of all columns together, from which on these are counted one by one.
+FEW = 50_000
 
 
 def _ranks(n: int, share: float) -> tuple[int, float]:
@@ -29,51 +31,43 @@ def _ranks(n: int, share: float) -> tuple[int, float]:
     return int(at), at - int(at)
 
 
-def _bin(value: Column, low: float, high: float) -> Column:
-    """The bin of a value between two bounds; never falls as values rise. Halves, as the bounds may be the least
-    and greatest doubles; if halves don't differ, no value lies between the bounds."""
-    half = high / 2 - low / 2
-    if not half:
-        return F.when(value == low, 0).otherwise(BINS - 1)
-    return F.least(F.lit(BINS - 1), F.floor((value / 2 - low / 2) / half * BINS)).cast("int")
-
-
 def column_quantiles(frame: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
     """Quantiles of each column, interpolated between neighbours; null and NaN don't count, infinities count as the
-    greatest doubles, and a column without values has nulls. Every round is one pass over all columns; bounds shrink BINS-fold or to a bin's own values,
-    so some rounds are enough for any spread. The driver holds bounds and counts of wanted bins alone."""
-    most = float(np.finfo(float).max)
-    value = {c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c).cast("double")))) for c in columns}
-    parts = [p for c in columns for p in (F.count(value[c]), F.min(value[c]), F.max(value[c]))]
-    row = frame.agg(*(p.alias(f"_{k}") for k, p in enumerate(parts))).first()
-    size = {c: row[3 * k] for k, c in enumerate(columns)}
+    greatest doubles, and a column without values has nulls. Every round is one pass over all columns; bounds shrink
+    BINS-fold or to a bin's own values, so some rounds are enough for any spread, and once few values are left
+    between the bounds these are counted one by one. The driver holds bounds, counts of wanted bins and those few."""
+    spark, most = frame.sparkSession, float(np.finfo(float).max)
+    clean = [F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c).cast("double")))) for c in columns]
+    long = frame.select(F.posexplode(F.array(*clean)).alias("j", "v")).filter("v IS NOT NULL")
+    stats = {r.j: (r.n, r.low, r.high) for r in long.groupBy("j").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    size = {c: stats[j][0] if j in stats else 0 for j, c in enumerate(columns)}
     found: dict[tuple[str, int], float] = {}
-    asked: dict[str, list[list]] = {}  # intervals: least value, greatest, values below, ranks within
-    for k, c in enumerate(columns):
-        want = {r for s in shares if size[c] for r in (_ranks(size[c], s)[0], min(_ranks(size[c], s)[0] + 1, size[c] - 1))}
-        if want:
-            asked[c] = [[float(row[3 * k + 1]), float(row[3 * k + 2]), 0, sorted(want)]]
+    asked = []  # column, least value, greatest, values below, values within, ranks within
+    for j, (n, low, high) in stats.items():
+        want = {r for s in shares for r in (_ranks(n, s)[0], min(_ranks(n, s)[0] + 1, n - 1))}
+        asked.append((j, low, high, 0, n, sorted(want)))
     while True:
-        for c, intervals in asked.items():
-            for low, high, _, ranks in intervals:
-                if low == high:
-                    found.update({(c, r): low for r in ranks})
-            asked[c] = [i for i in intervals if i[0] < i[1]]
-        open_ = [(c, k, low, high) for c, intervals in asked.items() for k, (low, high, _, _) in enumerate(intervals)]
-        if not open_:
+        for j, low, high, _, _, ranks in asked:
+            if low == high:
+                found.update({(columns[j], r): low for r in ranks})
+        asked = [a for a in asked if a[1] < a[2]]
+        if not asked:
             break
-        bins = [F.when(value[c].between(low, high), F.struct(F.lit(j).alias("j"), _bin(value[c], low, high).alias("bin"), value[c].alias("v"))) for j, (c, _, low, high) in enumerate(open_)]
-        counts = frame.select(F.explode(F.filter(F.array(*bins), lambda e: e.isNotNull())).alias("e")).groupBy("e.j", "e.bin").agg(F.count("*").alias("n"), F.min("e.v").alias("low"), F.max("e.v").alias("high")).collect()
+        few = sum(a[4] for a in asked) <= FEW
+        bounds = spark.createDataFrame([(k, j, low, high, high / 2 - low / 2) for k, (j, low, high, _, _, _) in enumerate(asked)], "k int, j int, low double, high double, half double")
+        met = long.join(F.broadcast(bounds), "j").filter("v BETWEEN low AND high")
+        # halves, as the bounds may be the least and greatest doubles; if these don't differ, no value lies between
+        place = F.least(F.lit(BINS - 1), F.coalesce(F.floor((F.col("v") / 2 - F.col("low") / 2) / F.nullif(F.col("half"), F.lit(0.0)) * BINS), F.when(F.col("v") == F.col("low"), 0).otherwise(BINS - 1)))
+        group = met.groupBy("k", F.col("v").alias("bin")) if few else met.groupBy("k", place.alias("bin"))
         by: dict[int, list] = {}
-        for r in counts:
-            by.setdefault(r.j, []).append((r.bin, r.n, r.low, r.high))
-        new: dict[str, list[list]] = {c: [] for c in asked}
-        for j, (c, k, _, _) in enumerate(open_):
-            _, _, below, ranks = asked[c][k]
-            for _, n, low, high in sorted(by[j]):
+        for r in group.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+            by.setdefault(r.k, []).append((r.low, r.high, r.n))
+        new = []
+        for k, (j, _, _, below, _, ranks) in enumerate(asked):
+            for low, high, n in sorted(by[k]):
                 inside = [r for r in ranks if below <= r < below + n]
                 if inside:
-                    new[c].append([low, high, below, inside])
+                    new.append((j, low, high, below, n, inside))
                 below += n
         asked = new
 

@@ -369,3 +369,12 @@ def terrain_aspect(spark, sf_dir):
     return r6(found.select("row", "col", F.sin(back).alias("east"), F.cos(back).alias("north")))
 
 
+
+
+@query()
+def shadow_selection(spark, sf_dir):
+    """Which features tell rich customers, by shadows; forests have no SQL form."""
+    o = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("orders"), F.avg("o_totalprice").alias("price"), F.avg(F.dayofyear("o_orderdate")).alias("day"))
+    x = load(spark, sf_dir, "customer").withColumn("label", F.when(F.col("c_acctbal") > 4500, "rich").otherwise("other")).join(o, "c_custkey", "left")
+    rows = learning.select_by_shadows(x, ["c_acctbal", "orders", "price", "day"], "label", "c_custkey")
+    return spark.createDataFrame(rows, "feature string, decision string, mean_importance double")

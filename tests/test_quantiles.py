@@ -10,10 +10,12 @@ from sylvaflow.operators.quantiles import column_quantiles, group_quantiles
 SHARES = [0.0, 0.02, 0.25, 0.5, 0.9, 0.98, 1.0]
 
 
-def test_columns_of_any_spread(spark):
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_columns_of_any_spread(spark, monkeypatch, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
     rng = np.random.default_rng(1)
-    n = 3001
-    wide = rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n)
+    n = 1001
+    wide = rng.normal(size=n) * 10.0 ** rng.integers(-40, 40, n)
     columns = {"even": rng.random(n), "few": rng.integers(0, 4, n).astype(float), "wide": wide, "one": np.full(n, 7.5), "huge": np.where(np.arange(n) % 2 == 0, -1.7e308, 1.7e308), "tiny": np.where(np.arange(n) < 10, 5e-324, 0.0)}
     rows = [tuple(float(columns[c][k]) for c in columns) + (None, k if k % 2 else None) for k in range(n)]
     frame = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "none"]) + ", half int")
@@ -56,6 +58,7 @@ def test_groups_that_lie_over_many_tasks(spark, coalesce):
 
 def test_rounds_are_few(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BINS", 4)
-    frame = spark.range(5000).select((F.hash("id") % 100_000).cast("double").alias("v"))
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    frame = spark.range(300).select((F.hash("id") % 1000).cast("double").alias("v"))
     values = np.array([r.v for r in frame.collect()])
     assert np.allclose(column_quantiles(frame, ["v"], SHARES)["v"], np.quantile(values, SHARES))
