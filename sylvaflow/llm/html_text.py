@@ -43,8 +43,9 @@ BOUND = frozenset("table td th tr ul ol dl div section article body main aside b
 # Elements without text to read, elements and names of page furniture.
 SILENT = frozenset("head title script style select option textarea input button iframe noscript template svg canvas object audio video".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
-FURNITURE = frozenset("nav footer aside form dialog menu".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+FURNITURE = frozenset("nav footer aside dialog menu".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+PROSE = frozenset("p h1 h2 h3 blockquote pre".split())
 _PREFIXES = "site page main top bottom left right global primary secondary post article user reader"
 _SUFFIXES = "list area section box block container wrapper wrap inner content left right top bottom bar links link items item form widget thread main"
 _NAMES = "ads? adverts? advertisement advertising adsense banner breadcrumbs? cookies? consent disqus footer gdpr menu modal nav navbar navigation newsletter notices? pagination popup promo promoted related share sharing sidebar side-bar skip social sponsor sponsored subscribe subscription toolbar widget"
@@ -68,7 +69,8 @@ _TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 
 
 class Node:
-    """An element. why: None, "silent", "header" (furniture outside articles), "furniture" or "comments"."""
+    """An element. why: None, "silent", "header" (furniture outside articles), "furniture" (by its tag or role),
+    "named" (by its class or id, or a form) or "comments"."""
 
     __slots__ = ("tag", "children", "why", "hash", "size", "kept", "drop")
 
@@ -81,21 +83,24 @@ class Node:
 def _why(tag: str, attributes: str, in_text: bool) -> str | None:
     if tag in SILENT:
         return "silent"
-    why = "furniture" if tag in FURNITURE else "header" if tag == "header" else None
+    why = "furniture" if tag in FURNITURE else "named" if tag == "form" else "header" if tag == "header" else None
     if tag in ("body", "html", "article", "main") or not attributes or not _TELLING.search(attributes):
         return why
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style") or ""):
         return "silent"
-    if (found.get("role") or "").lower() in ROLES:
+    role = (found.get("role") or "").lower()
+    if role in ROLES:
         return "furniture"
     if in_text and tag in INLINE:
         return why
     names = [x for k in ("class", "id") if found.get(k) for x in unescape(found[k]).split()]
+    if why == "furniture":
+        return why
     if any(map(COMMENT_NAMES.fullmatch, names)):
         return "comments"
-    if any(map(FURNITURE_NAMES.fullmatch, names)):
-        return "furniture"
+    if role == "form" or any(map(FURNITURE_NAMES.fullmatch, names)):
+        return "named"
     return why or ("header" if any(map(HEADER_NAMES.fullmatch, names)) else None)
 
 
@@ -210,17 +215,34 @@ def _finish(root: Node) -> None:
         node.hash = xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
+def _articles(nodes: list[Node]) -> dict[int, int]:
+    """By id of each element that has some, the outermost article elements with text in it; main elements where
+    a page has no article."""
+    for tag in ("article", "main"):
+        out: dict[int, int] = {}
+        for node in reversed(nodes):
+            n = 1 if node.tag == tag and node.size else sum(out.get(id(c), 0) for c in node.children if isinstance(c, Node))
+            if n:
+                out[id(node)] = n
+        if out:
+            return out
+    return {}
+
+
 def _marked(root: Node) -> Iterator[tuple[Node, int, bool]]:
     """(node, parent's hash, whether inside an article) of the subtrees that may be template: blocks with text,
-    but less than half of the page's. Inside one that its name tells, only the whole counts."""
+    but less than half of the page's, or of any size beside an article. Inside one that its name tells, only the
+    whole counts."""
+    articles = _articles(_down(root))
     todo = [(root, 0, False)]
     while todo:
         node, parent, inside = todo.pop()
         if not node.size or node.why == "silent":
             continue
-        if 2 * node.size < root.size and node.tag not in INLINE and node.tag not in ("html", "body"):
+        may = 2 * node.size < root.size or bool(articles) and not inside and id(node) not in articles
+        if may and node.tag not in INLINE and node.tag not in ("html", "body"):
             yield node, parent, inside
-        if node.why in ("furniture", "comments") and 2 * node.size < root.size:
+        if may and node.why in ("furniture", "named", "comments"):
             continue
         inside = inside or node.tag in ("article", "main")
         todo.extend((c, node.hash, inside) for c in node.children if isinstance(c, Node))
@@ -236,21 +258,25 @@ def _decide(root: Node, template: frozenset[int] | set[int]) -> None:
         for node, _, inside in _marked(root):
             node.drop = _key(node, inside) in template
     nodes = _down(root)
-    holds: dict[int, int] = {}  # the largest article or main element of each subtree
+    articles = _articles(nodes)
+    prose: dict[int, int] = {}  # text of paragraphs and headings outside all that is furniture
     for node in reversed(nodes):
-        inner = [holds[id(c)] for c in node.children if isinstance(c, Node) and id(c) in holds]
-        most = max([*inner, node.size if node.tag in ("article", "main") else 0], default=0)
-        if most:
-            holds[id(node)] = most
+        if node.why is None:
+            own = node.size if node.tag in PROSE else sum(prose.get(id(c), 0) for c in node.children if isinstance(c, Node))
+            if own:
+                prose[id(node)] = own
+    every = articles.get(id(root), 0)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         if node.why == "furniture":
-            node.drop |= 2 * node.size <= root.size
-        elif node.why == "comments":
-            node.drop |= 2 * holds.get(id(node), 0) <= root.size
-        elif node.why == "header":
-            node.drop |= not inside and 2 * node.size <= root.size
+            node.drop = True
+        elif node.why in ("named", "comments") and inside:
+            node.drop = True
+        elif node.why in ("named", "comments", "header") and not inside:
+            # what its name tells goes at any size, unless the article is in it or there is no text but it
+            within = articles.get(id(node), 0)
+            node.drop |= every > within and not (within and node.why != "comments") if every else 2 * node.size <= root.size or (node.tag != "form" and bool(prose.get(id(root))))
         if node.tag == "article" and inside:  # an article in an article is a comment on it
             node.drop |= 2 * node.size < root.size
         inside = inside or node.tag == "article"
@@ -279,7 +305,8 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
     chosen = [root]
     for tag in ("main", "article"):
         inner = _inner(chosen, tag)
-        if inner and 2 * sum(n.kept for n in inner) >= sum(n.kept for n in chosen):
+        headed = any(n.tag == "h1" and n.kept for i in inner for n in _down(i))
+        if inner and (headed or 2 * sum(n.kept for n in inner) >= sum(n.kept for n in chosen)):
             chosen = inner
         elif tag == "article":  # comments or teasers beside the text
             for node in inner:

@@ -391,6 +391,28 @@ def test_odd_pages():
     assert time.time() - begin < 4
 
 
+def test_short_articles_beside_long_furniture(spark):
+    """Furniture goes at any size, the article stays at any."""
+    read = lambda s: html_text.blocks(html_text.parse(f"<html><body>{s}</body></html>"))
+    long = "".join(f"<li>entry number {k} of it</li>" for k in range(30))
+    article = "<article><p>One sentence.</p></article>"
+    for around in (f"<nav><ul>{long}</ul></nav>", f"<footer>{long}</footer>", f"<aside>{long}</aside>", f"<div role='navigation'>{long}</div>", f"<div class='sidebar'>{long}</div>", f"<div class='comments'>{long}</div>", f"<form>{long}</form>", f"<header>{long}</header>", f"<div id='comments'><article><p>{long}</p></article></div>"):
+        assert read(around + article) == read(article + around) == ["One sentence."], around
+        assert read(f"<main>{around}<p>One sentence.</p></main>") == ["One sentence."] or "<form" in around or "<article" in around, around
+    assert read(f"<nav>{long}</nav><div><p>One sentence.</p></div><div class='comments'>{long}</div>") == ["One sentence."]
+    assert read(f"<div class='promo'>{article}</div><nav>{long}</nav>") == ["One sentence."]
+    assert read(f"<article><p>One sentence.</p><div class='comments'>{long}</div></article>") == ["One sentence."]
+    assert read(f"<article><h1>Title</h1><p>One.</p></article><div>{long}</div>") == ["Title", "One."]
+    assert read(f"<nav>{long}</nav>") == []
+
+
+def test_short_articles_beside_long_template(spark):
+    links = "".join(f"<li>link number {k} of the site</li>" for k in range(30))
+    page = lambda k: (k, f"http://t.org/{k}", f"<html><body><div><ul>{links}</ul></div><article><h2>Title {k}</h2><p>Words of page {k}.</p></article><p>Other {k}</p></body></html>")
+    got = {r.page_id: r.blocks for r in main_text(spark.createDataFrame([page(k) for k in range(9)], "page_id long, url string, html string")).collect()}
+    assert all(got[k] == [f"Title {k}", f"Words of page {k}."] for k in range(9))
+
+
 def test_odd_rows_and_empty_tables(spark, odd, tmp_path):
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "no id here at all"), (2, None), (None, "x y z a b c"), (3, "few words")], "item_id long, text string")
