@@ -147,8 +147,8 @@ def radar_series(spark, sf_dir):
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_type, ts::DATE AS date, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts::DATE, value, event_id) AS k FROM events), w AS (SELECT user_id, event_type, date, value, k, date AS last, true AS kept FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.date, o.value, o.k, CASE WHEN date_diff('day', w.last, o.date) >= 10 THEN o.date ELSE w.last END, date_diff('day', w.last, o.date) >= 10 FROM w JOIN o ON o.user_id = w.user_id AND o.event_type = w.event_type AND o.k = w.k + 1) SELECT user_id, event_type, date, value FROM w WHERE kept""")
 def thinned_scenes(spark, sf_dir):
     # only a date's first scene can be kept, so a key's array has one entry a date
-    first = load(spark, sf_dir, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("date")).agg(F.min(F.struct("value", "event_id")).alias("s"))
-    rows = F.array_sort(F.collect_list(F.struct("date", F.col("s.value").alias("value"))))
+    first = load(spark, sf_dir, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("date")).agg(F.min("value").alias("value"))
+    rows = F.array_sort(F.collect_list(F.struct("date", "value")))
     x = first.groupBy("user_id", "event_type").agg(rows.alias("rows")).withColumn("kept", series.thin(F.col("rows"), 10))
     return x.select("user_id", "event_type", F.explode("kept").alias("k")).select("user_id", "event_type", "k.date", "k.value")
 
@@ -284,9 +284,9 @@ def stratified_folds(spark, sf_dir):
     return learning.folds(load(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query(f"""WITH s AS (SELECT vec_id, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS x FROM ({POINTS}) WHERE i <= 10), p AS (SELECT vec_id, i, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) SELECT vec_id, (arg_max(i, p * 1000000 - i / 1000000) - 1)::BIGINT AS class_idx, round(max(p), 6) AS confidence, round(-sum(p * ln(p)) / ln(10), 6) AS shannon, sum((p >= 0.1)::INT)::INT AS richness FROM p GROUP BY 1""")
+@query(f"""WITH s AS (SELECT vec_id, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS x FROM ({POINTS})), p AS (SELECT vec_id, i, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM s) SELECT vec_id, (arg_max(i, p * 1000000 - i / 1000000) - 1)::BIGINT AS class_idx, round(max(p), 6) AS confidence, round(-sum(p * ln(p)) / ln(64), 6) AS shannon, sum((p >= 0.1)::INT)::INT AS richness FROM p GROUP BY 1""")
 def soft_predictions(spark, sf_dir):
-    x = vectors(spark, sf_dir).select("vec_id", indices.softmax(F.slice("v", 1, 10)).alias("p"))
+    x = vectors(spark, sf_dir).select("vec_id", indices.softmax(F.col("v")).alias("p"))
     richness = F.aggregate(indices.presence(F.col("p")), F.lit(0), lambda s, k: s + k)
     return r6(x.select("vec_id", indices.argmax(F.col("p")).alias("class_idx"), F.array_max("p").alias("confidence"), indices.shannon(F.col("p")).alias("shannon"), richness.alias("richness")))
 

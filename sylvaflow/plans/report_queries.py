@@ -63,9 +63,9 @@ def valid_series(spark, sf_dir):
     return x.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id, ts::DATE AS date, event_type FROM events WHERE user_id < 40), k AS (SELECT date FROM e GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM e)) SELECT user_id, date, event_type FROM e WHERE date IN (SELECT date FROM k)""")
+@query("""WITH e AS (SELECT DISTINCT user_id, ts::DATE AS date, event_type FROM events), k AS (SELECT date FROM e GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM e)) SELECT user_id, date, event_type FROM e WHERE date IN (SELECT date FROM k)""")
 def complete_dates(spark, sf_dir):
-    x = load(spark, sf_dir, "events").filter("user_id < 40").select("user_id", F.to_date("ts").alias("date"), "event_type").distinct()
+    x = load(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"), "event_type").distinct()
     kinds = [r[0] for r in x.select("event_type").distinct().collect()]  # as few as there are bands
     return features.complete_dates(x, "date", "event_type", kinds).select("user_id", "date", "event_type")
 
@@ -200,19 +200,19 @@ def decisions(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", indices.decision_label(raw).alias("decision"), indices.rounded(F.col("p_retailprice"), 1).alias("importance"))
 
 
-@query(f"""WITH s AS (SELECT vec_id, i, v FROM ({POINTS}) WHERE i <= 6), m AS (SELECT vec_id, avg(v) AS m, stddev_samp(v) AS sd FROM s GROUP BY 1) SELECT vec_id, {", ".join(f"round(max(CASE WHEN i = {k} THEN (v - m) / sd END), 6) AS c{k}" for k in range(1, 7))} FROM s JOIN m USING (vec_id) GROUP BY 1""")
+@query(f"""WITH s AS (SELECT vec_id, i, v FROM ({POINTS})), m AS (SELECT vec_id, avg(v) AS m, stddev_samp(v) AS sd FROM s GROUP BY 1) SELECT vec_id, {", ".join(f"round(max(CASE WHEN i = {k} THEN (v - m) / sd END), 6) AS c{k}" for k in range(1, 65))} FROM s JOIN m USING (vec_id) GROUP BY 1""")
 def heatmap_rows(spark, sf_dir):
-    x = vectors(spark, sf_dir).select("vec_id", *(F.col("v")[k - 1].alias(f"c{k}") for k in range(1, 7)))
-    return r6(tables.row_zscore(x, ["vec_id"], [f"c{k}" for k in range(1, 7)]))
+    x = vectors(spark, sf_dir).select("vec_id", *(F.col("v")[k - 1].alias(f"c{k}") for k in range(1, 65)))
+    return r6(tables.row_zscore(x, ["vec_id"], [f"c{k}" for k in range(1, 65)]))
 
 
 # --- scalars -------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, round(1 / (B02 + 1e-10) - 1 / (B03 + 1e-10), 3) AS CRI FROM (SELECT l_orderkey, l_linenumber, {BAND_SQL} FROM lineitem) WHERE B02 > 0 AND B03 > 0""")
+@query(f"""SELECT l_orderkey, l_linenumber, round(1 / (B02 + 1e-10) - 1 / (B03 + 1e-10), 3) AS CRI FROM (SELECT l_orderkey, l_linenumber, {BAND_SQL} FROM lineitem)""")
 def pigment_index(spark, sf_dir):
-    """The variant of the table builder, where both bands have a value."""
-    return pixels(spark, sf_dir).filter("B02 > 0 and B03 > 0").select("l_orderkey", "l_linenumber", F.round(indices.all_indices("ts_long")["CRI"], 3).alias("CRI"))
+    """The variant of the table builder."""
+    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(indices.all_indices("ts_long")["CRI"], 3).alias("CRI"))
 
 
 @query("""SELECT p_partkey, greatest(0.2, least(0.8, p_size / 50)) AS clamped, round(0.2 + 0.5 * (1 / (1 + exp(-0.08 * (p_size * 7 - 110))) - 1 / (1 + exp(-0.06 * (p_size * 7 - 290)))), 9) AS green, round(sin(radians(p_size * 7.3::DOUBLE)), 9) AS aspect_sin, round(cos(radians(p_size * 7.3::DOUBLE)), 9) AS aspect_cos, round(least(20, ln(greatest(p_retailprice, 1) / greatest(p_size / 1000 - 0.02, 0.001))), 9) AS twi, (p_size / 50 - 0.5) > 0.03 AS overfit FROM part""")
@@ -329,12 +329,12 @@ def soft_map(spark, sf_dir):
 # --- years, plots, models ------------------------------------------------------------------------------
 
 
-@query("""WITH x AS (SELECT l_suppkey, year(l_shipdate) AS y, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1998 GROUP BY ALL), y AS (SELECT l_suppkey, q, CASE WHEN y < 1998 THEN d END AS d FROM x) SELECT l_suppkey AS plot_id, count(*) AS n_years, round(avg(q), 6) AS pheno_quantity, round(avg(d), 6) AS discount, round(stddev_samp(q), 6) AS pheno_quantity_sd_interannual FROM y GROUP BY 1""")
+@query("""WITH x AS (SELECT l_suppkey, year(l_shipdate) AS y, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY ALL), y AS (SELECT l_suppkey, q, CASE WHEN y < 2001 THEN d END AS d FROM x) SELECT l_suppkey AS plot_id, count(*) AS n_years, round(avg(q), 6) AS pheno_quantity, round(avg(d), 6) AS discount, round(stddev_samp(q), 6) AS pheno_quantity_sd_interannual FROM y GROUP BY 1""")
 def multi_year_features(spark, sf_dir):
-    """Three tables of features, one a year; the last lacks a column."""
+    """Tables of features, one a year; the last lacks a column."""
     x = load(spark, sf_dir, "lineitem").withColumn("y", F.year("l_shipdate"))
     own = lambda y: x.filter(F.col("y") == y).groupBy(F.col("l_suppkey").alias("plot_id")).agg(F.avg("l_quantity").alias("pheno_quantity"), F.avg("l_discount").alias("discount"))
-    return r6(features.multi_year({1996: own(1996), 1997: own(1997), 1998: own(1998).drop("discount")}))
+    return r6(features.multi_year({**{y: own(y) for y in range(1995, 2001)}, 2001: own(2001).drop("discount")}))
 
 
 @query()
