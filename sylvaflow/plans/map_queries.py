@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvaflow.functions.projections import to_lambert93, to_wgs84
-from sylvaflow.operators import polygons, raster, resampling, zones
+from sylvaflow.operators import datasets, polygons, raster, resampling, zones
 from sylvaflow.operators.stages import shared_path
 from sylvaflow.plans.queries import GRID, grid, load, query, r6, vectors
 from sylvaflow.plans.terrain_queries import SIZE
 from sylvaflow.sources.arrays import read_npy, write_npy
 from sylvaflow.sources.cache import cached
 from sylvaflow.sources.rasters import read_raster, write_raster
+from sylvaflow.sources.readers import read_labels, read_series, read_split, write_report
 
 CLASSES = f"SELECT row, col, round(value / 4)::INT AS class FROM ({GRID})"
 
@@ -164,3 +165,46 @@ def terrain_cache(spark, sf_dir):
     cached(ids.filter("plot_id % 3 = 0"), path, "plot_id", compute)
     found = cached(ids, path, "plot_id", compute)
     return found.withColumn("n_new", F.lit(made[-1]).cast("long"))
+
+
+# --- training sets --------------------------------------------------------------------------------------
+
+PATCH = "'P_' || (user_id % 7) || '_' || user_id"
+
+
+@query(f"""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS proportion FROM c),
+d AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY proportion DESC, event_type) = 1),
+m AS (SELECT user_id, {PATCH} AS plot_id, event_type AS genus, proportion, CASE event_type WHEN 'click' THEN 'clic' WHEN 'view' THEN 'vue' WHEN 'purchase' THEN 'achat' ELSE event_type END AS species_name, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 4 WHEN 'purchase' THEN 5 ELSE 0 END AS species_code FROM d WHERE event_type <> 'error'),
+s AS (SELECT user_id, ts::DATE AS date, round(avg(value), 6) AS ndvi FROM events GROUP BY ALL)
+SELECT plot_id, strftime(date, '%Y-%m-%d') AS date, ndvi, genus, proportion, species_name, species_code::INT AS species_code, CASE WHEN user_id % 3 = 1 THEN 'test' ELSE 'train' END AS split, round(coalesce(c_acctbal, 0), 2) AS dem FROM m JOIN s USING (user_id) LEFT JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 > 0) ON c_custkey = user_id""")
+def assembled_dataset(spark, sf_dir):
+    """Label files, split lists, a terrain file and series, written from the tables and read by their readers."""
+    path = shared_path(spark, "dataset")
+    e = load(spark, sf_dir, "events").withColumn("plot_id", F.expr(PATCH))
+    total = e.groupBy("plot_id").agg(F.count("*").alias("total"))
+    pair = F.array("event_type", F.round(F.col("n") / F.col("total"), 6).cast("string"))
+    each = e.groupBy("user_id", "plot_id", "event_type").agg(F.count("*").alias("n")).join(total, "plot_id").groupBy("user_id", "plot_id").agg(F.collect_list(pair).alias("pairs"))
+    # a label file is one object: some hundred patches each
+    whole = each.groupBy(F.floor(F.col("user_id") / 200).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("plot_id", "pairs")))).alias("value"))
+    whole.write.partitionBy("file").text(f"{path}/labels")
+    ids = e.select("user_id", "plot_id").distinct()
+    for name, rest in (("train", 0), ("test", 1)):
+        ids.filter(F.col("user_id") % 3 == rest).select(F.col("plot_id").alias("value")).write.text(f"{path}/{name}")
+    write_report(ids.join(load(spark, sf_dir, "customer").filter("c_custkey % 5 > 0"), F.col("c_custkey") == F.col("user_id")).select("plot_id", F.round("c_acctbal", 2).alias("dem")), f"{path}/terrain")
+    write_report(e.groupBy("plot_id", F.to_date("ts").alias("date")).agg(F.round(F.avg("value"), 6).alias("ndvi")), f"{path}/series")
+    labels = read_labels(spark, f"{path}/labels/*")
+    split = read_split(spark, f"{path}/train", f"{path}/test")
+    lists = tuple(split.filter(F.col("split") == name).select(F.col("id").alias("plot_id")) for name in ("train", "test"))
+    series = read_series(spark, f"{path}/series", "plot_id string, date string, ndvi double")
+    terrain = read_series(spark, f"{path}/terrain", "plot_id string, dem double")
+    genera = spark.createDataFrame([("click", "clic", 3), ("view", "vue", 4), ("purchase", "achat", 5)], "genus string, species_name string, species_code int")
+    return datasets.assembled(labels, genera, series, terrain, lists, ("error",))
+
+
+@query("""WITH c AS (SELECT l_orderkey % 64 AS row, l_partkey % 64 AS col, l_shipdate::DATE AS date, CASE WHEN l_linenumber % 2 = 0 THEN 'VV' ELSE 'VH' END AS layer, 'f' || (l_suppkey % 3) AS path, avg(l_quantity) AS value FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY ALL), f AS (SELECT date, layer, min(path) AS path FROM c GROUP BY ALL), k AS (SELECT date FROM f GROUP BY 1 HAVING count(*) = 2), o AS (SELECT row, col, date, max(value) FILTER (layer = 'VV') AS VV, max(value) FILTER (layer = 'VH') AS VH FROM c JOIN f USING (date, layer, path) WHERE date IN (SELECT date FROM k) GROUP BY ALL) SELECT row, col, strftime(date, '%Y-%m-%d') AS date, round(VV, 6) AS VV, round(VH, 6) AS VH, round(VV - VH, 6) AS VV_VH_ratio FROM o""")
+def radar_cube(spark, sf_dir):
+    """Scenes of two polarisations, several files a date; dates with one polarisation alone go."""
+    x = load(spark, sf_dir, "lineitem").filter("l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01'")
+    layer = F.when(F.col("l_linenumber") % 2 == 0, "VV").otherwise("VH")
+    cells = x.groupBy((F.col("l_orderkey") % 64).alias("row"), (F.col("l_partkey") % 64).alias("col"), F.to_date("l_shipdate").alias("date"), layer.alias("layer"), F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("path")).agg(F.avg("l_quantity").alias("value"))
+    return r6(datasets.radar_cube(cells, 1997).withColumn("date", F.col("date").cast("string")))
