@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sylvaflow.functions import indices, names, series
-from sylvaflow.operators import features, learning, quantiles, raster, tables
+from sylvaflow.operators import clustering, features, learning, quantiles, raster, tables
 from sylvaflow.plans.queries import BAND_SQL, GRID, ORACLE_SQL, POINTS, grid, load, pixels, query, r6, vectors
 from sylvaflow.sources import readers
 
@@ -378,3 +378,10 @@ def shadow_selection(spark, sf_dir):
     x = load(spark, sf_dir, "customer").withColumn("label", F.when(F.col("c_acctbal") > 4500, "rich").otherwise("other")).join(o, "c_custkey", "left")
     rows = learning.select_by_shadows(x, ["c_acctbal", "orders", "price", "day"], "label", "c_custkey")
     return spark.createDataFrame(rows, "feature string, decision string, mean_importance double")
+
+
+@query()
+def clustered_heatmap(spark, sf_dir):
+    """Mean quantity, price, discount and tax of each supplier's lines, in the order of their clustering."""
+    values = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return r6(clustering.clustered_profiles(tables.band_zscores(load(spark, sf_dir, "lineitem"), values).select("l_suppkey", *values), "l_suppkey", values))
