@@ -1,20 +1,24 @@
 """Benchmark decontamination by SimHash windows and a multi-index over Hamming blocks.
 
-Items are grouped by size. Of each item the first and the last window of its group's size get a
-64-bit SimHash over five-word shingles, and so does every window of that size of every document.
-Each fingerprint is cut into BLOCKS blocks; of two fingerprints within RADIUS bits, some block
-differs by RADIUS // BLOCKS bits at most, so an index of the items' blocks with those changes
-misses none. Each candidate's item-sized window is then compared with the item exactly, as
-weighted sets of shingles (weight: number of occurrences): sum of minima / sum of maxima.
-
-A window at the threshold is often further away than RADIUS, so the fingerprints alone lose some.
-What they lose comes by windows of one shingle: of two weighted sets of similarity `least`, one
-with n shingles, at least least * n are shared, so of any n - ceil(least * n) + 1 shingles of an item
-one is in the window. Those rarest among the items are indexed, and of a text that has one, all
-windows of the item's size that hold enough of its shingles are compared. So none is lost.
+Items are grouped by size. Of each item the first and the last window of its group's size, at least
+four fifths of the item, get a 64-bit SimHash over five-word shingles, and so do tiles of it, a third
+of the item long and TILE shingles at most. Every window of those sizes of every document gets one too.
+Each fingerprint is cut into BLOCKS blocks; of two fingerprints within RADIUS bits, some block differs
+by RADIUS // BLOCKS bits at most, so an index of the items' blocks with those changes misses none.
+Around each candidate the item-sized windows are compared with the item exactly, as weighted sets of
+shingles (weight: number of occurrences): sum of minima / sum of maxima.
+
+Fingerprints of whole windows at similarity 0.8 are ten bits apart on average, beyond what an index can
+tell from chance; the tiles let RADIUS do. Of two windows of n shingles at 0.8 at most n / 9 of the
+item's are not shared, and a change inside the window takes four neighbours at least (all that span a
+changed word or a cut), so there are n / 36 changes at most, each of which meets two tiles at most:
+n / 18 of the n / TILE tiles. So one tile is whole, and its fingerprints are equal. A lower threshold
+has no such bound.
 
 Benchmark items go to the tasks in slices of SLICE bytes of text, and each slice passes over the
-documents, so what is broadcast is bounded at any benchmark size. Documents are never shuffled.
+documents, so what is broadcast is bounded at any benchmark size. Documents are never shuffled. A text
+of over PIECE bytes is read in pieces that overlap by the longest item, so a task's memory is bounded
+at any length of texts that have spaces.
 """
 
 from __future__ import annotations
@@ -25,15 +29,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaflow.llm.text import Words, by_bytes, shingles
+from sylvaflow.llm.text import Words, as_strings, by_bytes, offsets, shingles
 
 BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 7
 SLICE = 4 << 20
-#: Text bytes whose windows are fingerprinted at once.
-STEP = 1 << 18
+#: Text bytes whose windows are fingerprinted at once, and bytes of a text above which it is read in pieces.
+STEP, PIECE = 1 << 18, 1 << 20
+#: Shingles of an item's tile at most; each item has three tiles or more.
+TILE = 16
+#: White space, as bytes.
+SPACES = frozenset(b" \t\n\v\f\r")
 FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 
@@ -65,6 +74,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]], least: float = 0.8):
         items = [(i, t) for i, t in items if i is not None and t]
+        self.least = least
         words = Words(pa.array([t for _, t in items], pa.string()))
         values, first = shingles(words.hash, words.first)
         counts = np.diff(words.first)
@@ -77,21 +87,19 @@ class ItemIndex:
             self.bags.append(Counter(own.tolist()))
             if counts[k] < 5:
                 continue
+            sums = running(own, self.kind)
             size = max(s for s in sizes if s <= len(own))
-            marks = fingerprints(running(own, self.kind), size)
-            for offset in {0, len(own) - size}:
-                by_size.setdefault(size, []).append((k, offset, int(marks[offset])))
+            tile = max(s for s in sizes if s <= max(min(TILE, len(own) // 3), 1))
+            places = {(size, 0), (size, len(own) - size), (tile, len(own) - tile)}
+            places |= {(tile, offset) for offset in range(0, len(own) - tile + 1, tile)}
+            marks = {s: fingerprints(sums, s) for s in (size, tile)}
+            for s, offset in sorted(places):
+                by_size.setdefault(s, []).append((k, offset, int(marks[s][offset])))
         self.lengths = np.diff(first)
+        #: Words that pieces of a text share, so that each item-sized window is whole in one.
+        self.overlap = int(self.lengths.max(initial=1)) + 4
         self.own = [np.sort(values[first[k] : first[k + 1]]) for k in range(len(items))]
         self.need = np.maximum(np.ceil(least * self.lengths - 1e-9), 1).astype(np.int64)
-        names, number = np.unique(values, return_counts=True)
-        seeds: list[tuple[int, int]] = []
-        for k in range(len(items)):
-            if counts[k] >= 5:
-                rare = np.argsort(number[np.searchsorted(names, self.own[k])], kind="stable")
-                seeds += [(int(v), k) for v in np.unique(self.own[k][rare[: len(rare) - self.need[k] + 1]])]
-        seeds.sort()
-        self.seeds, self.seed_item = np.array([v for v, _ in seeds], np.uint64), np.array([k for _, k in seeds], np.int64)
         self.classes = [(size, *self._index(rows)) for size, rows in sorted(by_size.items())]
 
     @staticmethod
@@ -109,9 +117,10 @@ class ItemIndex:
             tables.append((np.diff(start) > 0, start, owner[order]))
         return item, offset, marks, tables
 
-    def candidates(self, values: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, first shingle, item) of all windows whose fingerprint is within RADIUS of an item's, and those of _seeded."""
-        out: set[tuple[int, int, int]] = set()
+    def candidates(self, values: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], set[int]]:
+        """(row, item) -> places of the item in the row, in shingles from the row's first, told by windows whose
+        fingerprint is within RADIUS of one of the item's. A place may be before the row's first shingle."""
+        out: dict[tuple[int, int], set[int]] = {}
         sums = running(values, self.kind)
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for size, item, offset, marks, tables in self.classes:
@@ -132,46 +141,75 @@ class ItemIndex:
                 window, entry = window[near], entry[near]
                 row = row_of[window]
                 inside = window + size <= first[row + 1]
-                for w, r, e in zip(window[inside].tolist(), row[inside].tolist(), entry[inside].tolist()):
-                    out.add((r, max(int(first[r]), w - int(offset[e])), int(item[e])))
-        return out | self._seeded(values, first, row_of)
-
-    def _seeded(self, values: np.ndarray, first: np.ndarray, row_of: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, first shingle, item) of all windows with enough of the shingles of an item that shares a seed."""
-        out: set[tuple[int, int, int]] = set()
-        if not len(self.seeds) or not len(values):
-            return out
-        at = np.searchsorted(self.seeds, values)
-        hit = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == values)
-        number = np.searchsorted(self.seeds, values[hit], side="right") - at[hit]
-        end = np.cumsum(number)
-        item = self.seed_item[np.repeat(at[hit] - (end - number), number) + np.arange(number.sum())]
-        for row, k in np.unique(np.stack([np.repeat(row_of[hit], number), item], axis=1), axis=0).tolist():
-            text, own = values[first[row] : first[row + 1]], self.own[k]
-            size = min(int(self.lengths[k]), len(text))
-            held = own[np.minimum(np.searchsorted(own, text), len(own) - 1)] == text
-            total = np.concatenate([[0], np.cumsum(held)])
-            # a window near the end of a text may be shorter than the item
-            stop = np.minimum(np.arange(len(text)) + size, len(text))
-            for start in np.flatnonzero(total[stop] - total[:-1] >= self.need[k]).tolist():
-                out.add((row, int(first[row]) + start, k))
+                window, row, entry = window[inside], row[inside], entry[inside]
+                told = np.stack([row, item[entry], window - first[row] - offset[entry]], axis=1)
+                for r, k, place in np.unique(told, axis=0).tolist():
+                    out.setdefault((r, k), set()).add(place)
         return out
 
-    def matches(self, column: pa.Array, least: float) -> dict[tuple[int, int], tuple[float, int, int]]:
-        """(row, item) -> similarity, first word, words of the best confirmed window (ties: the first)."""
-        words = Words(column)
+    def _windows(self, text: np.ndarray, k: int, places: set[int], whole: bool) -> Iterator[int]:
+        """First shingles of the item-sized windows within a quarter of the item from a place that hold enough of
+        its shingles. `whole` leaves out those that the end of the text cuts."""
+        size, own, need = int(self.lengths[k]), self.own[k], self.need[k]
+        slack, done = size // 4 + 1, 0
+        for place in sorted(places):
+            low, high = max(place - slack, done), min(place + slack, len(text) - (size if whole else 1))
+            if high < low:
+                continue
+            part = text[low : high + size]
+            total = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, part), size - 1)] == part)])
+            begin = np.arange(high - low + 1)
+            held = total[np.minimum(begin + size, len(part))] - total[begin]
+            yield from (low + np.flatnonzero(held >= need)).tolist()
+            done = high + 1
+
+    def _matches(self, words: Words, whole: bool) -> dict[tuple[int, int], tuple[float, int, int]]:
         values, first = shingles(words.hash, words.first)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for row, begin, item in sorted(self.candidates(values, first)):
-            end = min(begin + int(self.lengths[item]), int(first[row + 1]))
-            mine, bag = Counter(values[begin:end].tolist()), self.bags[item]
-            both = sum((mine & bag).values())
-            score = both / (sum(mine.values()) + sum(bag.values()) - both)
-            if score >= least and score > best.get((row, item), (0.0,))[0]:
-                best[row, item] = (score, begin - int(first[row]), end - begin + 4)
+        for (row, item), places in sorted(self.candidates(values, first).items()):
+            text, bag, size = values[first[row] : first[row + 1]], self.bags[item], int(self.lengths[item])
+            for begin in self._windows(text, item, places, whole):
+                mine = Counter(text[begin : begin + size].tolist())
+                both = sum((mine & bag).values())
+                score = both / (sum(mine.values()) + size - both)
+                if score >= self.least and score > best.get((row, item), (0.0,))[0]:
+                    best[row, item] = (score, begin, min(size, len(text) - begin) + 4)
+        return best
+
+    def matches(self, column: pa.Array) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """(row, item) -> similarity, first word, words of the best confirmed window (ties: the first)."""
+        texts = as_strings(column)
+        long = np.diff(offsets(texts)) > PIECE
+        best = self._matches(Words(pc.if_else(pa.array(long), "", texts) if long.any() else texts), False)
+        for row in np.flatnonzero(long).tolist():
+            for words, word, last in pieces(texts[row : row + 1], self.overlap):
+                for (_, item), (score, begin, number) in self._matches(words, not last).items():
+                    if score > best.get((row, item), (0.0,))[0]:
+                        best[row, item] = (score, word + begin, number)
         return best
 
 
+def pieces(text: pa.LargeStringArray, overlap: int) -> Iterator[tuple[Words, int, bool]]:
+    """Words of parts of one text of about PIECE bytes, which end at white space and share `overlap` words with the
+    next; the first word's number, and whether it is the last. A run without white space stays whole."""
+    at = offsets(text)
+    data = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[1]]
+    begin, word, size = 0, 0, PIECE
+    while True:
+        end = min(begin + size, len(data))
+        while end < len(data) and data[end] not in SPACES:
+            end += 1
+        words = Words(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, end - begin])), pa.py_buffer(data[begin:end])))
+        if end < len(data) and len(words.start) <= 2 * overlap:
+            size *= 2  # so that each piece brings more new words than it repeats
+            continue
+        yield words, word, end == len(data)
+        if end == len(data):
+            return
+        word += len(words.start) - overlap
+        begin, size = begin + int(words.start[len(words.start) - overlap]), PIECE
+
+
 def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """The distinct items with id and text, so that copies of one don't make its slice large."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -189,8 +227,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
 
     Words are lower-cased (A-Z). Null or empty texts and items with fewer than five words match
     nothing, as do items without id; a document without id keeps a null doc_id; repeated documents are
-    found each, repeated items once, and texts that share an item_id each; an empty table on either side
-    gives an empty result; other columns are ignored.
+    found each, repeated items once, and texts that share an item_id each; very long texts are read in
+    pieces with the same result; an empty table on either side gives an empty result; other columns are
+    ignored.
     """
     out = None
     for items in _slices(benchmark):
@@ -200,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFram
             index = ItemIndex(shared.value, least)
             for batch in batches:
                 for part in by_bytes(batch, "text", STEP):
-                    got = index.matches(part.column("text"), least)
+                    got = index.matches(part.column("text"))
                     rows = pa.array([r for r, _ in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id").cast(pa.int64()).take(rows), pa.array([index.ids[i] for _, i in got], pa.int64()), *(pa.array([v[j] for v in got.values()], t) for j, t in ((1, pa.int64()), (2, pa.int64()), (0, pa.float64())))],
@@ -222,7 +261,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) ->
             for batch in batches:
                 for part in by_bytes(batch, "text", STEP):
                     mask = np.ones(part.num_rows, bool)
-                    mask[[r for r, _ in index.matches(part.column("text"), least)]] = False
+                    mask[[r for r, _ in index.matches(part.column("text"))]] = False
                     yield part.filter(pa.array(mask))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -7,12 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import html_text, queries
+from sylvaflow.llm import decontaminate, html_text, queries
 from sylvaflow.llm.decontaminate import leaks, without_leaks
 from sylvaflow.llm.html_text import host_of, main_text
 from sylvaflow.llm.licenses import aligned, license_scan
@@ -449,3 +450,46 @@ def test_pipeline_keeps_clean_and_distinct_documents(spark, texts):
     judged = {r.doc_id for r in queries.op8_quality_rules(spark, SMALL).filter("kept").collect()}
     leaked = {r.doc_id for r in queries.op1_decontaminate(spark, SMALL).collect()}
     assert found.keys() <= judged - leaked and len(found) > 0.5 * len(judged)
+
+
+def test_leaks_with_inserted_and_deleted_words_are_found(spark):
+    """Against all windows of all lengths of items; tiles and whole windows find each by SimHash alone."""
+    rng, five = np.random.default_rng(5), lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    items, docs, want = [], [], {}
+    for k in range(160):
+        size = int(rng.integers(8, 260))
+        item = [f"i{k}-{j}" for j in range(size)]
+        near = list(item)
+        for _ in range(int(rng.integers(0, max(size // 45, 1) + 1))):
+            j = int(rng.integers(0, len(near)))
+            near[j : j + int(rng.integers(0, 2))] = [f"n{j}"] * int(rng.integers(0, 2))
+        doc = [f"a{k}-{j}" for j in range(60)] + near + [f"b{k}-{j}" for j in range(60 * (k % 3 > 0))]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(doc)))
+        y, n = five(item), size - 4
+        best = 0.0
+        for j in range(len(doc) - 4):
+            x = five(doc[j : j + size])
+            both = sum((x & y).values())
+            best = max(best, both / (sum(x.values()) + n - both))
+        if best >= 0.8:
+            want[k] = round(best, 9)
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 0.8)
+    got = {r.doc_id: round(r.similarity, 9) for r in found.collect()}
+    assert len(want) > 100 and got == want, {k: (want.get(k), got.get(k)) for k in want.keys() | got.keys() if want.get(k) != got.get(k)}
+
+
+def test_leaks_in_very_long_texts(monkeypatch):
+    """A text read in pieces has the matches of the whole one, also of an item over a cut and at the end."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 20000)]
+    items = [(k, " ".join(words[a : a + 40])) for k, a in enumerate((0, 777, 5000, 9990, 19960))]
+    index = decontaminate.ItemIndex(items, 0.8)
+    text = pa.array([None, items[1][1], "  ".join(words[:9000]) + "\n" + " ".join(words[9000:]), "x " * 50, items[0][1]])
+    whole = index.matches(text)
+    assert {k: v[1] for (r, k), v in whole.items() if r == 2} == {0: 0, 1: 777, 2: 5000, 3: 9990, 4: 19960} and len(whole) == 7
+    for size in (64, 1000, 4096, 50000):
+        monkeypatch.setattr(decontaminate, "PIECE", size)
+        assert index.matches(text) == whole
+    monkeypatch.setattr(decontaminate, "PIECE", 100)
+    assert index.matches(pa.array(["x" * 5000])) == {} and index.matches(pa.array(["é " * 500])) == {}
