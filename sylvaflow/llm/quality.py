@@ -1,9 +1,9 @@
-"""Quality rules: repetition and length measures, and divergence from the document's language.
+"""Quality rules: repetition and length measures, and distance from the document's language.
 
 Of each text two histograms are made, over character classes and over the common words of the
-languages below. Their Jensen-Shannon divergence (base 2, 0 to 1) from the sum over all documents
-of the same language says how unlike that language the text is. Texts too short for a histogram
-to mean anything are not judged by it.
+languages below. Their Jensen-Shannon distance (the square root of the divergence to base 2, 0 to 1)
+from the sum over all documents of the same language that pass the base rules says how unlike that
+language the text is. Texts too short for a histogram to mean anything are not judged by it.
 """
 
 from __future__ import annotations
@@ -28,11 +28,13 @@ COMMON_WORDS = {
 }
 #: Symbols that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
-CHAR_MAX, CHAR_LEAST = 0.10, 200
-WORD_MAX, WORD_LEAST = 0.25, 100
-#: Share of the divergence of a text without common words that a text may have, where that divergence
+CHAR_MAX, CHAR_LEAST = 0.32, 200
+WORD_MAX, WORD_LEAST = 0.5, 100
+#: Share of the distance of a text without common words that a text may have, where that distance
 #: tells anything: in a language that hardly has the words above, only WORD_MAX holds.
-WORD_SHARE, WORD_TELLS = 0.5, 0.05
+WORD_SHARE, WORD_TELLS = 0.7, 0.22
+#: Words that a text has at least, and percentage of words in repeated windows of three at most.
+LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Languages up to which their histograms are broadcast; beyond it they are joined by a shuffle.
 FEW_LANGUAGES = 1000
 
@@ -121,8 +123,8 @@ def measure(column: pa.Array) -> list[pa.Array]:
     ]
 
 
-def _divergence(a: str, b: str) -> Column:
-    """Jensen-Shannon divergence of two histograms; null if one of them is empty."""
+def _distance(a: str, b: str) -> Column:
+    """Jensen-Shannon distance of two histograms; null if one of them is empty."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     sums = F.struct(total(F.col(a)).alias("a"), total(F.col(b)).alias("b"))
@@ -134,13 +136,15 @@ def _divergence(a: str, b: str) -> Column:
                 F.zip_with(a, b, lambda x, y: (part(x / t["a"], (x / t["a"] + y / t["b"]) / 2) + part(y / t["b"], (x / t["a"] + y / t["b"]) / 2)) / 2),
                 F.lit(0.0),
                 lambda s, x: s + x,
+                lambda s: F.sqrt(F.greatest(s, F.lit(0.0))),
             ),
         ),
     )[0]
 
 
 def language_histograms(docs: DataFrame) -> DataFrame:
-    """language, ref_chars, ref_words: sums over all documents of a language (null: the empty string).
+    """language, ref_chars, ref_words: sums over all documents of a language (null: the empty string) that
+    pass the base rules; a language without such documents has sums of zero and judges nothing.
 
     Each Arrow batch is summed before the shuffle, so a hot language sends a few rows a batch.
     """
@@ -149,9 +153,11 @@ def language_histograms(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 got = measure(part.column("text"))
+                n_words, n_repeat = got[0].to_numpy(), got[4].to_numpy()
+                good = (n_words >= LEAST_WORDS) & (100 * n_repeat <= MOST_REPEATED * n_words)
                 names, index = np.unique(np.array(part.column("language").to_pylist(), object), return_inverse=True)
                 for k, size in ((5, CHAR_BINS), (6, WORD_BINS)):
-                    grid = got[k].flatten().to_numpy().reshape(-1, size)
+                    grid = got[k].flatten().to_numpy().reshape(-1, size) * good[:, None]
                     total = np.zeros((len(names), size), np.int64)
                     np.add.at(total, index, grid)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size), pa.string()), pa.array(np.tile(np.arange(size) + 1000 * (k == 6), len(names)), pa.int32()), pa.array(total.reshape(-1))], ["language", "bin", "n"])
@@ -164,18 +170,19 @@ def language_histograms(docs: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs(doc_id, text, lang, ...) with a column `quality` (named apart if docs has one): a struct of
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_divergence, word_divergence,
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance,
     base_failed, kept.
 
     kept is false if base_failed (fewer than 50 words, or over half of the words in repeated windows
-    of three), or a text of CHAR_LEAST characters diverges by over CHAR_MAX, or one of WORD_LEAST words
-    by over WORD_MAX or WORD_SHARE of what a text without common words diverges by. Null and empty texts have zero measures and fail. A null language is one of its
+    of three), or a text of CHAR_LEAST characters is over CHAR_MAX away, or one of WORD_LEAST words over
+    WORD_MAX or over WORD_SHARE of what a text without common words is. Null and empty texts have zero
+    measures and fail. Very long texts are measured whole, in one task each. A null language is one of its
     own. Repeated rows count each; an empty table gives an empty result. keep_text=False leaves only
     doc_id beside the struct.
     """
     refs = language_histograms(docs).withColumn("none", F.array(*[F.lit(int(k == WORD_BINS - 1)) for k in range(WORD_BINS)]).cast("array<long>"))
     most = F.col("most")
-    refs = refs.withColumn("most", _divergence("none", "ref_words"))
+    refs = refs.withColumn("most", _distance("none", "ref_words"))
     refs = refs.withColumn("word_limit", F.when(most >= WORD_TELLS, F.least(F.lit(WORD_MAX), WORD_SHARE * most)).otherwise(WORD_MAX))
     refs = stored(refs.drop("none", "most"), "languages")
     refs = F.broadcast(refs) if refs.count() <= FEW_LANGUAGES else refs
@@ -199,12 +206,12 @@ def quality(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     found = rows.mapInArrow(measured, schema).join(refs.withColumnRenamed("language", language), language, "left")
     q = F.col(name)
     found = found.withColumns({f"{name}_c": q["chars"], f"{name}_w": q["words"]})
-    found = found.withColumns({f"{name}_c": _divergence(f"{name}_c", "ref_chars"), f"{name}_w": _divergence(f"{name}_w", "ref_words")})
-    failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
+    found = found.withColumns({f"{name}_c": _distance(f"{name}_c", "ref_chars"), f"{name}_w": _distance(f"{name}_w", "ref_words")})
+    failed = (q["n_words"] < LEAST_WORDS) | (100 * q["n_repeat_words"] > MOST_REPEATED * q["n_words"])
     odd = (F.aggregate(q["chars"], F.lit(0).cast("long"), lambda s, x: s + x) >= CHAR_LEAST) & (F.coalesce(f"{name}_c", F.lit(0.0)) > CHAR_MAX)
     odd = odd | ((q["n_words"] >= WORD_LEAST) & (F.coalesce(f"{name}_w", F.lit(0.0)) > F.col("word_limit")))
     parts = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    result = F.struct(*parts, F.col(f"{name}_c").alias("char_divergence"), F.col(f"{name}_w").alias("word_divergence"), failed.alias("base_failed"), (~failed & ~odd).alias("kept"))
+    result = F.struct(*parts, F.col(f"{name}_c").alias("char_distance"), F.col(f"{name}_w").alias("word_distance"), failed.alias("base_failed"), (~failed & ~odd).alias("kept"))
     return found.select(*kept, result.alias(name))
 
 

@@ -493,3 +493,47 @@ def test_leaks_in_very_long_texts(monkeypatch):
         assert index.matches(text) == whole
     monkeypatch.setattr(decontaminate, "PIECE", 100)
     assert index.matches(pa.array(["x" * 5000])) == {} and index.matches(pa.array(["é " * 500])) == {}
+
+
+def test_quality_distances_and_verdicts_against_plain_ones(spark, texts):
+    from sylvaflow.llm import quality as q
+
+    classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\v\f", ".,;:!?'\"()-", "#*$%&|<>"]
+    common = sorted({w for v in q.COMMON_WORDS.values() for w in v.split()})
+
+    def chars(text):
+        out = [0] * 10
+        for c in text or "":
+            out[next((k for k, s in enumerate(classes) if c in s), 8 if c < "\x80" else 7 if c < "\u0800" else 9)] += 1
+        return out
+
+    def common_words(text):
+        found = Counter(w[:-1] if len(w) > 1 and w[-1] in ".,;:!?" else w for w in words_of(lower(text)))
+        return [found[w] for w in common] + [sum(found.values()) - sum(found[w] for w in common)]
+
+    def distance(a, b):
+        if not sum(a) or not sum(b):
+            return None
+        a, b = np.array(a) / sum(a), np.array(b) / sum(b)
+        m = (a + b) / 2
+        part = lambda p: float(sum(x * np.log2(x / y) for x, y in zip(p, m) if x > 0))
+        return max((part(a) + part(b)) / 2, 0) ** 0.5
+
+    lang = {r.doc_id: r.lang or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang").collect()}
+    got = {r.doc_id: r for r in queries.op8_quality_rules(spark, SMALL).collect()}
+    refs = {}
+    for i, t in texts.items():
+        if not got[i].base_failed:
+            x, y = refs.setdefault(lang[i], (np.zeros(10), np.zeros(len(common) + 1)))
+            x += chars(t)
+            y += common_words(t)
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        x, y = refs.get(lang[i], ([0], [0]))
+        c, w = distance(chars(t), x), distance(common_words(t), y)
+        for mine, theirs in ((c, got[i].char_distance), (w, got[i].word_distance)):
+            assert (mine is None) == (theirs is None) and (mine is None or abs(mine - theirs) < 1e-6), i
+        bare = distance([0] * len(common) + [1], y) or 0
+        most = min(q.WORD_MAX, q.WORD_SHARE * bare) if bare >= q.WORD_TELLS else q.WORD_MAX
+        odd = sum(chars(t)) >= q.CHAR_LEAST and (c or 0) > q.CHAR_MAX or len(words_of(t)) >= q.WORD_LEAST and (w or 0) > most
+        assert got[i].kept == (not got[i].base_failed and not odd), i
