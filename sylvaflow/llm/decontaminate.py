@@ -39,7 +39,8 @@ BLOCKS, BLOCK_BITS, RADIUS = 4, 16, 7
 SLICE = 4 << 20
 #: Text bytes whose windows are fingerprinted at once, and bytes of a text above which it is read in pieces.
 STEP, PIECE = 1 << 18, 1 << 20
-#: Shingles of an item's tile at most; each item has three tiles or more.
+#: Shingles of an item's tile at most; each item has three tiles or more. Tiles have powers of two, so that texts
+#: are passed over for few sizes.
 TILE = 16
 #: White space, as bytes.
 SPACES = frozenset(b" \t\n\v\f\r")
@@ -89,7 +90,7 @@ class ItemIndex:
                 continue
             sums = running(own, self.kind)
             size = max(s for s in sizes if s <= len(own))
-            tile = max(s for s in sizes if s <= max(min(TILE, len(own) // 3), 1))
+            tile = 1 << min(TILE, max(len(own) // 3, 1)).bit_length() - 1
             places = {(size, 0), (size, len(own) - size), (tile, len(own) - tile)}
             places |= {(tile, offset) for offset in range(0, len(own) - tile + 1, tile)}
             marks = {s: fingerprints(sums, s) for s in (size, tile)}
