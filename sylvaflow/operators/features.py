@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvaflow.functions import indices, series
 
@@ -67,6 +71,51 @@ def interpolate(t: Column, v: Column, at: Column) -> Column:
     return F.pandas_udf(_spline, "array<double>")(t, v, at)
 
 
+def smoother(size: int, order: int = 3, length: int = 7) -> np.ndarray:
+    """The Savitzky-Golay filter of series of `size` points as a matrix, with the ends of series.savgol."""
+    out = np.eye(size)
+    if size >= length:
+        weights = series.savgol_weights(order, length)
+        for i in range(size):
+            start = min(max(i - length // 2, 0), size - length)
+            out[i] = 0
+            out[i, start : start + length] = weights[i - start]
+    return out
+
+
+def smooth_bands(rows: Column, bands: list[str], at: np.ndarray) -> Column:
+    """A struct of the bands of rows (an array of structs of t and bands) at the days `at`: natural cubic splines,
+    then Savitzky-Golay. A band with fewer than three values is null. All bands take one pass through Arrow, and
+    series with the same days, of any plots and bands of a batch, are solved together."""
+    filter_, kind = smoother(len(at)), pa.list_(pa.float64())
+
+    def run(lists: pa.Array) -> pa.Array:
+        inner, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        entries = dict(zip([f.name for f in inner.type], inner.flatten()))
+        t = entries["t"].to_numpy(zero_copy_only=False).astype(float)
+        values = np.stack([entries[b].to_numpy(zero_copy_only=False).astype(float) for b in bands])
+        out, filled = np.zeros((len(bands), len(lists), len(at))), np.zeros((len(bands), len(lists)), bool)
+        groups: dict[bytes, list[tuple[int, int, np.ndarray]]] = {}
+        for row, (a, b) in enumerate(zip(ends, ends[1:])):
+            for k in range(len(bands)):
+                y = values[k, a:b]
+                good = ~(np.isnan(y) | np.isnan(t[a:b]))
+                if good.sum() >= 3:
+                    groups.setdefault(t[a:b][good].tobytes(), []).append((k, row, y[good]))
+        for x, members in groups.items():
+            k, row = [m[0] for m in members], [m[1] for m in members]
+            out[k, row] = natural_spline(np.frombuffer(x), np.stack([m[2] for m in members]), at) @ filter_.T
+            filled[k, row] = True
+        columns = []
+        for k in range(len(bands)):
+            offsets = np.concatenate([[0], np.cumsum(filled[k] * len(at))]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[k, filled[k]].reshape(-1)), type=kind, mask=pa.array(~filled[k])))
+        return pa.StructArray.from_arrays(columns, names)
+
+    names = [f"b{k}" for k in range(len(bands))]
+    return F.arrow_udf(run, T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names]))(rows)
+
+
 def regular_series(long: DataFrame, keys: list[str], date: str, value: str, grid: Column, origin: str) -> DataFrame:
     """keys, v: the series of long observations at the days of `grid` (days since `origin`), smoothed."""
     day = F.datediff(date, F.to_date(F.lit(origin))).cast("double")
@@ -90,16 +139,16 @@ def feature_matrix(wide: DataFrame, bands: list[str], key: str = "plot_id", date
     wide(key, date, bands...): repeated dates of a plot are averaged by the spline, missing values skipped; a
     band with fewer than three values has null features. All bands go through one shuffle, as one struct.
     """
-    grid = F.transform(series.date_grid(year), lambda d: F.datediff(d, F.to_date(F.lit(f"{year}-01-01"))).cast("double"))
+    days = np.arange(0, (dt.date(year + 1, 1, 1) - dt.date(year, 1, 1)).days, 5, dtype=float)
     day = F.datediff(date, F.to_date(F.lit(f"{year}-01-01"))).cast("double")
     row = F.struct(day.alias("t"), *(F.col(b).cast("double").alias(b) for b in bands))
     # equal dates are averaged first, in partial sums, so a plot's array has one entry a date however many rows it has
     dated = wide.groupBy(key, date).agg(*(F.avg(F.col(b).cast("double")).alias(b) for b in bands), *(F.first(c, ignorenulls=True).alias(c) for c in terrain))
+    # a plot's row is small and its features are dear: all tasks are wanted, so AQE may not merge them by bytes
+    dated = dated.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     plots = dated.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"), *(F.first(c, ignorenulls=True).alias(c) for c in terrain))
-    plots = plots.withColumns({"t": F.transform("rows", lambda r: r["t"]), "at": grid})
-    smooth = {f"s_{b}": interpolate(F.col("t"), F.transform("rows", _field(b)), F.col("at")) for b in bands}
-    plots = plots.withColumns(smooth).drop("rows", "t")
-    plots = plots.withColumns({f"s_{b}": series.savgol(F.col(f"s_{b}")) for b in bands})
+    plots = plots.withColumn("rows", smooth_bands(F.col("rows"), bands, days))
+    plots = plots.withColumns({f"s_{b}": F.col("rows")[f"b{k}"] for k, b in enumerate(bands)}).drop("rows")
     names = list(bands)
     if {"B02", "B03", "B04", "B05", "B08", "B11", "B12"} <= set(bands):
         zipped = F.arrays_zip(*(F.col(f"s_{b}").alias(b) for b in bands))
@@ -112,7 +161,7 @@ def feature_matrix(wide: DataFrame, bands: list[str], key: str = "plot_id", date
     out = [F.col(key), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in terrain)]
     arrays = {f"{n}_": F.col(f"s_{n}") for n in names}
     if "NDVI" in names:
-        doy = F.transform("at", lambda d: d + 1)
+        doy = F.array(*(F.lit(float(d + 1)) for d in days))
         plots = series.with_phenology(plots.withColumn("doy", doy), "doy", "s_NDVI")
         out += [F.col(c) for c in plots.columns if c.startswith("pheno_")]
         out += series.fourier(F.col("s_NDVI"), prefix="NDVI_fourier_")

@@ -377,7 +377,7 @@ def spline_series(spark, sf_dir):
 def feature_matrix(spark, sf_dir):
     x = load(spark, sf_dir, "lineitem")
     bands = {b: F.expr(e) for b, e in BANDS.items()} | {"S1_VV": -F.col("l_quantity") / 5, "S1_VH": -F.col("l_quantity") / 4}
-    wide = x.filter(F.year("l_shipdate") == 1996).select(F.col("l_suppkey").alias("plot_id"), F.to_date("l_shipdate").alias("date"), *(c.alias(b) for b, c in bands.items()))
+    wide = x.filter("l_shipdate >= date'1996-01-01' and l_shipdate < date'1997-01-01'").select(F.col("l_suppkey").alias("plot_id"), F.to_date("l_shipdate").alias("date"), *(c.alias(b) for b, c in bands.items()))
     return features.feature_matrix(wide, list(bands), year=1996)
 
 

@@ -105,6 +105,37 @@ def test_synthetic_features(spark):
     assert len(rows) == 4 and by["sp01_001"].pheno_amplitude > 0.3 > by["sp02_001"].NDVI_sd
 
 
+def test_feature_matrix_against_a_plain_form(spark):
+    """Own days and gaps of each plot; repeated dates, a null date, a band with too few values, a plot without any."""
+    rng, start = np.random.default_rng(8), dt.date(2023, 1, 1)
+    rows = []
+    for plot in range(12):
+        for day in sorted(rng.choice(365, 20 + plot % 3, replace=False).tolist()) if plot % 4 else range(3, 360, 17):
+            b = float(rng.normal()) if rng.random() < 0.9 else None
+            rows.append((plot, start + dt.timedelta(days=day), b, float(day) if plot != 5 or day < 40 and len(rows) % 2 else None))
+    rows += [rows[0], (1, None, 5.0, 5.0), (90, start, None, None), (91, None, None, None)]
+    wide = spark.createDataFrame(rows, "plot_id long, date date, X double, Y double")
+    got = {r.plot_id: r for r in features.feature_matrix(wide, ["X", "Y"], year=2023, by_date=True).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    at, weights = np.arange(0, 365, 5.0), series.savgol_weights()
+    for plot in got:
+        for k, band in ((2, "X"), (3, "Y")):
+            by = {}
+            for r in rows:
+                if r[0] == plot and r[1] is not None and r[k] is not None:
+                    by.setdefault((r[1] - start).days, []).append(r[k])
+            if len(by) < 3:
+                assert got[plot][f"{band}_mean"] is None and got[plot][f"{band}_d001"] is None
+                continue
+            x = np.array(sorted(by), float)
+            v = features.natural_spline(x, np.array([np.mean(by[int(d)]) for d in x]), at)
+            left = [min(max(i - 3, 0), 66) for i in range(73)]
+            v = np.array([v[s : s + 7] @ weights[i - s] for i, s in enumerate(left)])
+            assert np.allclose([got[plot][f"{band}_d{int(d) + 1:03d}"] for d in at], v)
+            assert np.isclose(got[plot][f"{band}_mean"], v.mean()) and np.isclose(got[plot][f"{band}_sd"], v.std(ddof=1))
+    assert features.feature_matrix(wide.limit(0), ["X", "Y"], year=2023).count() == 0
+
+
 def test_windows_on_a_stream_are_those_of_the_batch(spark, tmp_path):
     """The stream's own times are without zone; late rows are kept as long as their window is open."""
     batch = spark.read.parquet(f"{SMALL}/events.parquet")
