@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from sylvaflow.operators.clustering import clustered_profiles, leaf_order, merges
+from sylvaflow.operators import clustering
+from sylvaflow.operators.clustering import clustered_profiles, farthest, leaf_order, merges
 
 
 def naive(points):
@@ -43,3 +44,24 @@ def test_profiles_of_classes(spark):
     assert len(got) == 5 and sorted(r.leaf for r in got.values()) == [0, 1, 2, 3, 4] and abs(got["a"].leaf - got["c"].leaf) == 1
     assert (got["d"].x, got["d"].y, got["d"].z) == (0.0, 0.0, 0.0) and got["a"].height == got["c"].height < got["b"].height
     assert clustered_profiles(spark.createDataFrame([], "k string, x double"), "k", ["x"]).count() == 0
+
+
+def test_many_classes_cluster_in_tables_as_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{k:04d}", *map(float, rng.normal(size=4) * (1, 1, 1, 0.05 if k % 3 else 1))) for k in range(60)]
+    rows += [*((d, 1.0, 2.0, 4.0, 2.0) for d in ("d1", "d2", "d3")), (None, 9.0, None, 1.0, 3.0)]
+    frame = spark.createDataFrame(rows, "k string, w double, x double, y double, z double")
+    rows_of = lambda: {r.k: r for r in clustered_profiles(frame, "k", ["w", "x", "y", "z"]).collect()}
+    want = rows_of()
+    monkeypatch.setattr(clustering, "MOST", 10)
+    got = rows_of()
+    assert got.keys() == want.keys() and sorted(r.leaf for r in got.values()) == list(range(64))
+    for k, r in want.items():
+        assert got[k].leaf == r.leaf and got[k][1:5] == r[1:5] and abs(got[k].height - r.height) < 1e-12
+
+
+def test_the_farthest_pair_is_that_of_all():
+    rng = np.random.default_rng(1)
+    for m, n in ((1, 1), (1, 7), (40, 300)):
+        x, y = rng.normal(size=(m, 3)), rng.normal(size=(n, 3)) + 1
+        assert farthest(x, y) == np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)).max()
