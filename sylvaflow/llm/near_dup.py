@@ -6,12 +6,12 @@ longest common prefix, are its candidates, at whatever depth they part: deep whe
 where they don't. Sets that are equal are one node from the start, so copies never meet in pairs. Each
 candidate is confirmed on the full sets before it links.
 
-Where sets crowd (over 2 * REACH + 1 entries share REGION minima) a set may have links that are no
-neighbours, as the edited copies of one original that link only to it. So in up to ROUNDS rounds all
-members of such a region are compared with its PICKS most central members, and with as many of those outside its
-largest class, until a round links nothing. A round's work is linear in the entries of regions that
-are not yet one class. What is lost: a link that is no neighbour in any of the TREES orders and of which
-neither end was central in a round, if no other path joins its classes.
+Sets that share REGION minima of a tree are a region, of any size. What neighbours leave in several classes there
+is compared in full: each member outside the region's largest class with all members of other classes, in blocks that
+are dealt over tasks. So all pairs that share a region are compared or already joined: a pair at 0.85 shares none of
+the TREES regions in one of 10**5 cases, at 0.8 in one of 5,600. Of the regions' pairs those are candidates whose
+sketches (parities of 64 * LANES classes of shingles) differ in no more bits than their sets may in shingles, which loses
+none.
 
 A candidate is only read in full if so many of the TREES * DEPTH one-bit minima agree as all but one in
 10**5 pairs at the threshold do: the expected number less six deviations, 53 of 72 at 0.85.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvaflow.llm.graphs import components
@@ -31,10 +31,12 @@ from sylvaflow.llm.tables import small, stored
 from sylvaflow.llm.text import Words, by_bytes, distinct, shingles
 
 TREES, DEPTH = 12, 6
-#: Neighbours looked at before each entry of an order, and minima that the entries of a region share.
+#: Neighbours looked at first before each entry of an order, and minima that the entries of a region share.
 REACH, REGION = 2, 3
-#: Central members of each kind that a crowded region's members meet in a round, and rounds at most.
-PICKS, ROUNDS = 4, 3
+#: Bits of a sketch: lanes of 64.
+LANES = 16
+#: Members outside the largest class, and members of all, that meet in one block.
+FEW_BLOCK, ALL_BLOCK = 1024, 4096
 #: Keys that the pairs of one hot node are spread over.
 SALTS = 64
 #: Nodes with candidates whose ids are broadcast at most; more are joined with the texts by a shuffle.
@@ -69,6 +71,17 @@ def _node(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (total[start[1:]] - total[start[:-1]]).view(np.int64)
 
 
+def sketches(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Parities (rows x LANES, uint64) of how many of each row's sorted values fall in each of 64 * LANES classes."""
+    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    lane = row * LANES + (values >> np.uint64(60)).astype(np.int64)
+    out = np.zeros((len(start) - 1) * LANES, np.uint64)
+    if len(values):
+        first = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+        out[lane[first]] = np.bitwise_xor.reduceat(np.uint64(1) << ((values >> np.uint64(54)) & np.uint64(63)), first)
+    return out.reshape(-1, LANES)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in by_bytes(batch, "text"):
@@ -88,9 +101,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 width = 4 * TREES * DEPTH
                 for k, row in enumerate(some):
                     keys[row] = flat[k * width : (k + 1) * width]
+            flat, wide = sketches(values, start).tobytes(), 8 * LANES
+            sketch = pa.array([flat[k * wide : (k + 1) * wide] for k in range(len(size))], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(keys, pa.binary())],
-                ["doc_id", "n", "node", "m0", "m1", "keys"],
+                [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(keys, pa.binary()), sketch],
+                ["doc_id", "n", "node", "m0", "m1", "keys", "sketch"],
             )
 
 
@@ -152,25 +167,16 @@ def _confirm(percent: int):
     return check
 
 
-def _alike(a: str, b: str, percent: int) -> str:
-    """SQL: the sizes of a and b allow the similarity, and enough bits are equal."""
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {_same(a, b)} >= {least_bits(percent)}"
-
-
-def _same(a: str, b: str) -> str:
-    return f"cast({TREES * DEPTH} - bit_count({a}.m0 ^ {b}.m0) - bit_count({a}.m1 ^ {b}.m1) as long)"
-
-
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b, same) of neighbours, and the members (region, size, node, n, m0, m1) of crowded regions."""
+    """pairs (a, b, same) of neighbours, and the members (region, node) of regions with two at least."""
     key = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(keys, t * {4 * DEPTH} + 1, {4 * DEPTH}))")
     entries = nodes.select("node", "n", "m0", "m1", F.posexplode(key).alias("tree", "key"))
     order = entries.select("tree", "key", "node", "n", "m0", "m1").repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = order.mapInArrow(_neighbours(percent), "a long, b long, same long")
     pairs = stored(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
-    placed = entries.select(F.expr(f"xxhash64(tree, substring(key, 1, {4 * REGION}))").alias("region"), "node", "n", "m0", "m1")
-    crowded = stored(placed.groupBy("region").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * REACH + 1), "regions")
-    return pairs, stored(placed.join(small(crowded), "region"), "members")
+    placed = entries.select(F.expr(f"xxhash64(tree, substring(key, 1, {4 * REGION}))").alias("region"), "node")
+    shared = stored(placed.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1").select("region"), "regions")
+    return pairs, stored(placed.join(small(shared), "region"), "members")
 
 
 def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
@@ -183,55 +189,76 @@ def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(upper.join(part, "node", "left_anti").select("node", "root")), "classes")
 
 
-def _rounds(large: DataFrame, part: DataFrame, confirmed, percent: int) -> DataFrame:
-    """part after all members of crowded regions have met central ones, until that links no more."""
-    central = large.groupBy("node").agg(F.sum("size").alias("score"))
-    large = stored(large.join(central, "node").drop("size"), "members")
-    used = None
-    for _ in range(ROUNDS):
-        now = large.join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        classes = now.groupBy("region", "root").agg(F.count("*").alias("k"))
-        state = classes.groupBy("region").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("classes"))
-        state = stored(state.filter("classes > 1").select("region", "main"), "regions")
-        now = stored(now.join(small(state), "region"), "members")
-        fresh = now if used is None else now.join(small(used), ["region", "node"], "left_anti")
-        line = Window.partitionBy("region").orderBy(F.desc("score"), "node")  # tasks keep PICKS rows a region before the shuffle
-        best = lambda rows: rows.withColumn("k", F.row_number().over(line)).filter(F.col("k") <= PICKS).select("region", "node")
-        asked = stored(best(fresh).unionByName(best(fresh.filter("root <> main"))).distinct(), "asked")
-        if asked.isEmpty():
-            return part
-        # a region's few central members come to each of its members as one array, so the join makes no rows
-        mine = F.struct("node", "root", "n", "m0", "m1")
-        central_ones = stored(now.join(small(asked), ["region", "node"], "left_semi").groupBy("region").agg(F.collect_list(mine).alias("xs")), "asked")
-        met = now.select("region", mine.alias("y")).join(small(central_ones), "region")
-        fit = F.expr(f"filter(xs, x -> x.root <> y.root and {_alike('x', 'y', percent)})")
-        # a member meets a central one in many regions, but as one candidate
-        met = met.select("y", fit.alias("xs")).filter("size(xs) > 0").groupBy("y").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
-        met = met.select("y", F.explode("xs").alias("x"))
-        links = stored(confirmed(stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")), "links")
-        if links.isEmpty():
-            return part
-        part = _joined(part, links)
-        used = asked if used is None else stored(used.unionByName(asked), "used")
-    return part
+def _meet(percent: int):
+    """Pairs of each run of (region, i, j): its members outside the largest class (first in it) with those of other
+    classes, of sizes, bits and sketches that allow the similarity."""
+    keys, least, share = ("region", "i", "j"), least_bits(percent), (100 - percent) / (100 + percent)
+
+    def pairs(run: pa.Table) -> pa.RecordBatch | None:
+        kind, node, root, n = (run.column(c).to_numpy() for c in ("kind", "node", "root", "n"))
+        few = int(np.searchsorted(kind, 1))
+        if not few or few == len(kind):
+            return None
+        marks = np.stack([run.column(c).to_numpy() for c in ("m0", "m1")], axis=1)
+        sketch = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(-1, LANES)
+        all_ = few + np.argsort(n[few:], kind="stable")
+        sizes, found = n[all_], []
+        for k in range(few):
+            a, b = np.searchsorted(sizes, [-(-percent * n[k] // 100), 100 * n[k] // percent + 1])
+            to = all_[a:b]
+            # kind 2 is outside the largest class too and comes to meet this one as well
+            to = to[(root[to] != root[k]) & ((kind[to] == 1) | (node[to] > node[k]))]
+            same = TREES * DEPTH - np.bitwise_count((marks[to] ^ marks[k]).view(np.uint64)).sum(1, dtype=np.int64)
+            to, same = to[same >= least], same[same >= least]
+            apart = np.bitwise_count(sketch[to] ^ sketch[k]).sum(1, dtype=np.int64)
+            ok = apart <= share * (n[to] + n[k]) + 1e-9
+            if ok.any():
+                other = node[to[ok]]
+                found.append((np.minimum(other, node[k]), np.maximum(other, node[k]), same[ok] - apart[ok]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b", "same"]) if found else None
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if held and (k or any(held[0].column(c)[0] != batch.column(c)[0] for c in keys)):
+                    if (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held and (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield out
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
+    return scan
 
-    Two texts link where 100 * intersection >= percent * union of their sets of five-word shingles
-    (fewer words: the whole sequence is the set). component_id is the least doc_id reachable, kept
-    says that it is the row's own. Null, empty and wordless texts link with nothing. A row without
-    doc_id is not linked: component_id null, kept true. Rows that repeat an id stay, each with the
-    class of its own text. An empty table gives an empty result; other columns are ignored.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(rows.mapInArrow(_sets, "doc_id long, n long, node long, m0 long, m1 long, keys binary"), "sets")
-    known = sets.filter("n > 0 and doc_id is not null")
-    nodes = stored(known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "m0", "m1", "keys")).alias("s")).select("node", "s.*"), "nodes")
-    pairs, large = _candidates(nodes, percent)
-    # the texts that may be read in full, once for all rounds
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select("node")).distinct()
+
+def _left(members: DataFrame, nodes: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """(a, b, same) of all pairs of different classes of part that share a region and may be similar enough."""
+    now = members.join(part, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = now.groupBy("region", "root").agg(F.count("*").alias("k"))
+    state = classes.groupBy("region").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.count("*").alias("classes"))
+    blocks = [F.ceil((F.col("size") - F.col("most")) / FEW_BLOCK).cast("int").alias("fews"), F.ceil(F.col("size") / ALL_BLOCK).cast("int").alias("alls")]
+    state = stored(state.filter("classes > 1").select("region", "main", *blocks), "regions")
+    now = now.join(small(state), "region").join(nodes.select("node", "n", "m0", "m1", "sketch"), "node")
+    outside, rest = F.col("root") != F.col("main"), ["region", "node", "root", "n", "m0", "m1", "sketch"]
+    mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    kind = F.when(outside, 2).otherwise(1)
+    first = now.filter(outside).select(*rest, F.lit(0).alias("kind"), mine("fews").alias("i"), every("alls").alias("j"))
+    second = now.select(*rest, kind.alias("kind"), every("fews").alias("i"), mine("alls").alias("j"))
+    runs = first.unionByName(second).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "kind")
+    found = runs.mapInArrow(_meet(percent), "a long, b long, same long")
+    return stored(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, part: DataFrame | None, pairs: DataFrame, percent: int) -> DataFrame:
+    """part after those of pairs(a, b, same) that full sets confirm: the likeliest pair of each node first, then only
+    pairs between classes not yet joined."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ends = stored(ends.join(nodes.select("node", "doc_id"), "node"), "ends")
     texts = stored(rows.join(small(ends, FEW_ENDS), "doc_id").select("node", "text"), "texts", "zstd")
 
@@ -240,17 +267,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         first = asked.select("a", "b", salt).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         copies = asked.select("a", salt).distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = first.join(copies, ["a", "salt"]).select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_confirm(percent), "a long, b long").distinct()
+        return stored(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
-    # the likeliest pair of each node first; then only pairs between classes not yet joined
     best = pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("s")).select("s.a", "b")
-    links = stored(confirmed(best), "links")
-    part = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
+    links = confirmed(best)
+    part = _joined(part, links) if part is not None else stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
     of = lambda c: part.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    part = _joined(part, stored(confirmed(rest), "links"))
-    part = _rounds(large, part, confirmed, percent)
+    rest = stored(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
+    return part if rest.isEmpty() else _joined(part, confirmed(rest))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
+
+    Two texts link where 100 * intersection >= percent * union of their sets of five-word shingles
+    (fewer words: the whole sequence is the set). component_id is the least doc_id reachable, kept
+    says that it is the row's own. Null, empty and wordless texts link with nothing. A row without
+    doc_id is not linked: component_id null, kept true. Rows that repeat an id stay, each with the
+    class of its own text. An empty table gives an empty result; other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = stored(rows.mapInArrow(_sets, "doc_id long, n long, node long, m0 long, m1 long, keys binary, sketch binary"), "sets")
+    known = sets.filter("n > 0 and doc_id is not null")
+    nodes = stored(known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "m0", "m1", "keys", "sketch")).alias("s")).select("node", "s.*"), "nodes")
+    pairs, members = _candidates(nodes, percent)
+    part = _linked(rows, nodes, None, pairs, percent)
+    left = _left(members, nodes, part, percent)
+    if not left.isEmpty():
+        part = _linked(rows, nodes, part, left, percent)
     rooted = nodes.join(part, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = rooted.join(least, "root").select("node", "component_id")

@@ -13,7 +13,7 @@ import regex
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import decontaminate, html_text, queries
+from sylvaflow.llm import decontaminate, html_text, near_dup, queries
 from sylvaflow.llm.decontaminate import leaks, without_leaks
 from sylvaflow.llm.html_text import host_of, main_text
 from sylvaflow.llm.licenses import aligned, license_scan
@@ -92,6 +92,36 @@ def test_copies_that_link_only_to_their_original_are_found(spark):
     assert got == {i: 0 if i <= 2000 else i for i, _ in rows}
 
 
+@pytest.mark.parametrize(("percent", "blocks"), [(85, (1024, 4096)), (80, (8, 16))])
+def test_links_of_many_hubs_in_one_region_are_found(spark, monkeypatch, percent, blocks):
+    rng, n = np.random.default_rng(11), 300
+    base = [f"w{k}" for k in range(n)]
+    put = lambda words, at, tag: [f"{tag}-{k}" if k in at else w for k, w in enumerate(words)]
+    rows, want = [], {}
+    for hub in range(30):  # hubs share half their words, their copies link with their own hub alone
+        own = put(base, set(rng.choice(n // 2, 8, False).tolist()), f"h{hub}")
+        own = own[: n // 2] + [f"t{hub}-{k}" if k % 12 == 0 else w for k, w in enumerate(own[n // 2 :])]
+        for i in range(20):
+            rows.append((100 * hub + i, " ".join(put(own, set(rng.choice(n, 3, False).tolist()), f"x{hub}-{i}") if i else own)))
+            want[100 * hub + i] = 100 * hub
+    monkeypatch.setattr(near_dup, "FEW_BLOCK", blocks[0])
+    monkeypatch.setattr(near_dup, "ALL_BLOCK", blocks[1])
+    monkeypatch.setattr(near_dup, "_neighbours", lambda percent: lambda batches: iter(()))  # the regions alone find all
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    assert got == want
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_values():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)) for k in (1, 40, 0, 900)]
+    sets.append(np.sort(np.concatenate([sets[1][:30], sets[3][:5]])))
+    found = near_dup.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for x, a in zip(found, sets):
+        for y, b in zip(found, sets):
+            apart = len(np.setxor1d(a, b))
+            assert np.bitwise_count(x ^ y).sum() <= apart and (apart > 40 or np.bitwise_count(x ^ y).sum() >= apart - 8)
+
+
 def test_rows_that_repeat_an_id_keep_their_own_classes(spark):
     base = [f"w{k}" for k in range(120)]
     x, y = list(base), [f"v{k}" for k in range(120)]
