@@ -95,6 +95,17 @@ def unpack(n_ids: int, base, width, at, exceptions, payload: bytes) -> np.ndarra
     return flat.reshape(-1)[:n_ids]
 
 
+def encoded(code, texts: pa.RecordBatch, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts with end_id after each, and how many each has; only about SLICE_BYTES of text are encoded at
+    once, as the encoder's working arrays are many times their text."""
+    ids, sizes = [], []
+    for rows in by_bytes(texts, "text"):
+        own, start = code.encode(rows.column("text"))
+        ids.append(np.insert(own, start[1:], end_id))
+        sizes.append(np.diff(start) + 1)
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_bytes: int = 4 << 20) -> None:
     """Writes docs(doc_id, text) to `path`, in ascending doc_id over files and within them.
 
@@ -111,11 +122,12 @@ def write_blocks(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, s
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", ints), ("n_ids", pa.int64()), ("base", ints), ("width", ints), ("at", ints), ("exceptions", ints), ("payload", pa.binary())])
         for batch in batches:
             for rows in by_bytes(batch, "text", segment_bytes):
-                ids, start = code.encode(rows.column("text"))
-                ids = np.insert(ids, start[1:], end_id)
-                row = {"part": part, "seq": seq, "doc_ids": rows.column("doc_id").to_pylist(), "doc_sizes": (np.diff(start) + 1).tolist(), "n_ids": len(ids), **pack(ids)}
+                ids, sizes = encoded(code, rows, end_id)
+                row = {"part": part, "seq": seq, "doc_ids": rows.column("doc_id").to_pylist(), "doc_sizes": sizes.tolist(), "n_ids": len(ids), **pack(ids)}
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
                 seq += 1
+                del ids, sizes, row
+                pa.default_memory_pool().release_unused()  # the worker's earlier stages leave some, too
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")

@@ -22,7 +22,7 @@ from sylvaflow.llm.mixing import mixed, mixing_rates
 from sylvaflow.llm.near_dup import near_duplicates, one_of_each
 from sylvaflow.llm.pii import ENTITY, with_surrogates
 from sylvaflow.llm.quality import kept_by_quality, quality
-from sylvaflow.llm.token_blocks import BLOCK, pack, read_blocks, unpack, write_blocks
+from sylvaflow.llm.token_blocks import BLOCK, encoded, pack, read_blocks, unpack, write_blocks
 from sylvaflow.llm.token_counts import token_counts
 
 SPACES = " \t\n\v\f\r"
@@ -131,6 +131,21 @@ def test_rows_that_repeat_an_id_keep_their_own_classes(spark):
     assert got == [(1, 116, 1), (2, 116, 2), (5, 116, 1), (5, 116, 2)]
 
 
+def test_a_segment_is_encoded_in_slices():
+    seen = []
+
+    class Code:
+        def encode(self, column):
+            seen.append(sum(map(len, column.to_pylist())))
+            sizes = [len(t) % 7 for t in column.to_pylist()]
+            return np.arange(sum(sizes), dtype=np.uint32) + 1, np.concatenate([[0], np.cumsum(sizes)])
+
+    texts = ["x" * (k * 1009 % 40_000) for k in range(200)]
+    ids, sizes = encoded(Code(), pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 0)
+    assert len(seen) > 3 and max(seen) < 1_200_000 and sum(seen) == sum(map(len, texts))
+    assert sizes.tolist() == [len(t) % 7 + 1 for t in texts] and np.flatnonzero(ids == 0).tolist() == (np.cumsum(sizes) - 1).tolist()
+
+
 def test_token_counts_and_blocks_are_the_librarys(spark, texts):
     from tokenizers import Tokenizer
 
