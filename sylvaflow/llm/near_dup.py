@@ -6,14 +6,16 @@ longest common prefix, are its candidates, at whatever depth they part: deep whe
 where they don't. Sets that are equal are one node from the start, so copies never meet in pairs. Each
 candidate is confirmed on the full sets before it links.
 
-Sets that share REGION minima of a tree are a region, of any size. What neighbours leave in several classes there
-is compared in full: each member outside the region's largest class with all members of other classes, in blocks that
-are dealt over tasks. So all pairs that share a region are compared or already joined: a pair at 0.85 shares none of
-the TREES regions in one of 10**5 cases, at 0.8 in one of 5,600. Of the regions' pairs those are candidates whose
-sketches (parities of 64 * LANES classes of shingles) differ in no more bits than their sets may in shingles, which loses
-none.
-
-A candidate is only read in full if so many of the TREES * DEPTH one-bit minima agree as all but one in
+This joins most sets cheaply and leaves pairs out; an exact pass finds the rest. All shingles are in one order, those
+that few texts hold before common ones. Sets of at least the similarity share one of the first
+n - ceil(n * percent / 100) + 1 shingles of each, their prefix. The sets whose prefixes hold a shingle are a region, of
+any size: each member outside the region's largest class is compared with all members of other classes, in blocks that
+are dealt over tasks. Of these pairs those are candidates whose sketches (parities of 64 * LANES classes of shingles)
+differ in no more bits than their sets may in shingles, which loses none. So no link is lost, but for what 64-bit
+numbers of shingles allow: sketches of sets over LONG shingles are full, so such pairs need `least_bits` equal one-bit
+minima besides, as all but one in 10**10 links have.
+
+A neighbour is only read in full if so many of the TREES * DEPTH one-bit minima agree as all but one in
 10**5 pairs at the threshold do: the expected number less six deviations, 53 of 72 at 0.85.
 """
 
@@ -28,15 +30,21 @@ from pyspark.sql import functions as F
 
 from sylvaflow.llm.graphs import components
 from sylvaflow.llm.tables import small, stored
-from sylvaflow.llm.text import Words, by_bytes, distinct, shingles
+from sylvaflow.llm.text import Words, by_bytes, distinct, list_array, shingles
 
 TREES, DEPTH = 12, 6
-#: Neighbours looked at first before each entry of an order, and minima that the entries of a region share.
-REACH, REGION = 2, 3
+#: Neighbours looked at first before each entry of an order; prefixes find what they leave.
+REACH = 2
 #: Bits of a sketch: lanes of 64.
 LANES = 16
+#: Shingles beyond which a sketch no longer tells sets apart.
+LONG = 2048
+#: Bits of a shingle that number its bucket, where texts with it are counted to put common ones last.
+BUCKET_BITS = 20
 #: Members outside the largest class, and members of all, that meet in one block.
 FEW_BLOCK, ALL_BLOCK = 1024, 4096
+#: Pairs compared at once, and the members that one meets besides.
+STEP = 1 << 14
 #: Keys that the pairs of one hot node are spread over.
 SALTS = 64
 #: Nodes with candidates whose ids are broadcast at most; more are joined with the texts by a shuffle.
@@ -47,10 +55,10 @@ _XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def least_bits(percent: int) -> int:
-    """One-bit minima that two texts at the threshold share at least, but for one pair in 10**5."""
+def least_bits(percent: int, deviations: int = 6) -> int:
+    """One-bit minima that two texts at the threshold share at least, but for one pair in 10**5 (eight deviations: 10**10)."""
     n, p = TREES * DEPTH, (1 + percent / 100) / 2
-    return max(int(n * p - 6 * (n * p * (1 - p)) ** 0.5), 0)
+    return max(int(n * p - deviations * (n * p * (1 - p)) ** 0.5), 0)
 
 
 def signatures(values: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -82,31 +90,73 @@ def sketches(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out.reshape(-1, LANES)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets with over twice a task's mean of shingles, and their shingles."""
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for part in by_bytes(batch, "text"):
             words = Words(part.column("text"))
-            values, start = distinct(*shingles(words.hash, words.first))
-            size = np.diff(start)
-            some = np.flatnonzero(size)
-            node = _node(values, start)
-            marks = np.zeros((len(size), 2), np.int64)
-            keys = [None] * len(size)
-            if len(some):
-                first = np.append(start[some], start[-1])
-                minima = signatures(values, first)
-                bits = np.packbits((minima & 1).astype(np.uint8), axis=1)
-                marks[some, 0], marks[some, 1] = bits[:, :8].copy().view(np.int64)[:, 0], bits[:, 8]
-                flat = minima.astype(">u4").tobytes()
-                width = 4 * TREES * DEPTH
-                for k, row in enumerate(some):
-                    keys[row] = flat[k * width : (k + 1) * width]
-            flat, wide = sketches(values, start).tobytes(), 8 * LANES
-            sketch = pa.array([flat[k * wide : (k + 1) * wide] for k in range(len(size))], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(keys, pa.binary()), sketch],
-                ["doc_id", "n", "node", "m0", "m1", "keys", "sketch"],
-            )
+            values, _ = distinct(*shingles(words.hash, words.first))
+            total += np.bincount(_bucket(values), minlength=len(total))
+    found = np.flatnonzero(total > 2 * total.mean() + 8)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["bucket", "n"])
+
+
+def _levels(rows: DataFrame) -> np.ndarray:
+    """How common the shingles of each bucket are, as a power of two: 0 for most. Only the order of shingles depends on
+    it, so any numbers give the same links; one byte a bucket, whatever the input, goes to the tasks."""
+    found = rows.select("text").mapInArrow(_crowded, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
+    levels[found.column("bucket").to_numpy()] = np.log2(found.column("n").to_numpy()).astype(np.uint8) + 1
+    return levels
+
+
+def prefixes(values: np.ndarray, start: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(n * percent / 100) + 1 of each row's n values in the order of (level, value), and the first of
+    each row. Rows of at least this similarity share one."""
+    size = np.diff(start)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((values, levels[_bucket(values)], row))
+    length = np.minimum(size, size - -(-size * percent // 100) + 1)
+    keep = np.arange(len(values)) - start[row] < length[row]
+    return values[order][keep], np.concatenate([[0], np.cumsum(length)])
+
+
+def _sets(percent: int, levels: np.ndarray):
+    """Rows of (doc_id, n, node, m0, m1, keys, sketch, prefix)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                words = Words(part.column("text"))
+                values, start = distinct(*shingles(words.hash, words.first))
+                size = np.diff(start)
+                some = np.flatnonzero(size)
+                node = _node(values, start)
+                marks = np.zeros((len(size), 2), np.int64)
+                keys = [None] * len(size)
+                if len(some):
+                    first = np.append(start[some], start[-1])
+                    minima = signatures(values, first)
+                    bits = np.packbits((minima & 1).astype(np.uint8), axis=1)
+                    marks[some, 0], marks[some, 1] = bits[:, :8].copy().view(np.int64)[:, 0], bits[:, 8]
+                    flat = minima.astype(">u4").tobytes()
+                    width = 4 * TREES * DEPTH
+                    for k, row in enumerate(some):
+                        keys[row] = flat[k * width : (k + 1) * width]
+                flat, wide = sketches(values, start).tobytes(), 8 * LANES
+                sketch = pa.array([flat[k * wide : (k + 1) * wide] for k in range(len(size))], pa.binary())
+                head, at = prefixes(values, start, levels, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(size.astype(np.int64)), pa.array(node), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(keys, pa.binary()), sketch, list_array(head.view(np.int64), at, pa.int64())],
+                    ["doc_id", "n", "node", "m0", "m1", "keys", "sketch", "prefix"],
+                )
+
+    return read
 
 
 def _neighbours(percent: int):
@@ -167,16 +217,20 @@ def _confirm(percent: int):
     return check
 
 
-def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b, same) of neighbours, and the members (region, node) of regions with two at least."""
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, same) of neighbours."""
     key = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(keys, t * {4 * DEPTH} + 1, {4 * DEPTH}))")
     entries = nodes.select("node", "n", "m0", "m1", F.posexplode(key).alias("tree", "key"))
     order = entries.select("tree", "key", "node", "n", "m0", "m1").repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = order.mapInArrow(_neighbours(percent), "a long, b long, same long")
-    pairs = stored(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
-    placed = entries.select(F.expr(f"xxhash64(tree, substring(key, 1, {4 * REGION}))").alias("region"), "node")
-    shared = stored(placed.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1").select("region"), "regions")
-    return pairs, stored(placed.join(small(shared), "region"), "members")
+    return stored(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+
+
+def _members(known: DataFrame) -> DataFrame:
+    """(region, node) of every shingle that the prefixes of two different sets hold, and every set with it."""
+    placed = known.select(F.explode("prefix").alias("region"), "node")
+    shared = placed.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    return stored(placed.join(small(stored(shared.select("region"), "regions")), "region").distinct(), "members")
 
 
 def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
@@ -191,47 +245,48 @@ def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
 
 def _meet(percent: int):
     """Pairs of each run of (region, i, j): its members outside the largest class (first in it) with those of other
-    classes, of sizes, bits and sketches that allow the similarity."""
-    keys, least, share = ("region", "i", "j"), least_bits(percent), (100 - percent) / (100 + percent)
-
-    def pairs(run: pa.Table) -> pa.RecordBatch | None:
-        kind, node, root, n = (run.column(c).to_numpy() for c in ("kind", "node", "root", "n"))
-        few = int(np.searchsorted(kind, 1))
-        if not few or few == len(kind):
-            return None
-        marks = np.stack([run.column(c).to_numpy() for c in ("m0", "m1")], axis=1)
-        sketch = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint64).reshape(-1, LANES)
-        all_ = few + np.argsort(n[few:], kind="stable")
-        sizes, found = n[all_], []
-        for k in range(few):
-            a, b = np.searchsorted(sizes, [-(-percent * n[k] // 100), 100 * n[k] // percent + 1])
-            to = all_[a:b]
+    classes, of sizes, bits and sketches that allow the similarity. Runs are met together, STEP pairs at a time."""
+    keys, least, share = ("region", "i", "j"), least_bits(percent, 8), (100 - percent) / (100 + percent)
+
+    def pairs(runs: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kind, node, root, n = (runs.column(c).to_numpy() for c in ("kind", "node", "root", "n"))
+        marks = np.stack([runs.column(c).to_numpy() for c in ("m0", "m1")], axis=1)
+        sketch = np.frombuffer(b"".join(runs.column("sketch").to_pylist()), np.uint64).reshape(-1, LANES)
+        few = np.add.reduceat((kind == 0).astype(np.int64), cuts[:-1])
+        mine, run = np.flatnonzero(kind == 0), np.repeat(np.arange(len(few)), few)
+        start, count = (cuts[:-1] + few)[run], (np.diff(cuts) - few)[run]
+        total = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(mine):
+            end = max(at + 1, int(np.searchsorted(total, total[at] + STEP, "right")) - 1)
+            own = count[at:end]
+            k = np.repeat(mine[at:end], own)
+            to = np.repeat(start[at:end] - (total[at:end] - total[at]), own) + np.arange(total[end] - total[at])
+            at = end
+            small, large = np.minimum(n[k], n[to]), np.maximum(n[k], n[to])
             # kind 2 is outside the largest class too and comes to meet this one as well
-            to = to[(root[to] != root[k]) & ((kind[to] == 1) | (node[to] > node[k]))]
-            same = TREES * DEPTH - np.bitwise_count((marks[to] ^ marks[k]).view(np.uint64)).sum(1, dtype=np.int64)
-            to, same = to[same >= least], same[same >= least]
-            apart = np.bitwise_count(sketch[to] ^ sketch[k]).sum(1, dtype=np.int64)
-            ok = apart <= share * (n[to] + n[k]) + 1e-9
+            ok = (100 * small >= percent * large) & (root[k] != root[to]) & ((kind[to] == 1) | (node[to] > node[k]))
+            k, to, small = k[ok], to[ok], small[ok]
+            same = TREES * DEPTH - np.bitwise_count((marks[k] ^ marks[to]).view(np.uint64)).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(sketch[k] ^ sketch[to]).sum(1, dtype=np.int64)
+            ok = (apart <= share * (n[k] + n[to]) + 1e-9) & ((same >= least) | (small <= LONG))
             if ok.any():
-                other = node[to[ok]]
-                found.append((np.minimum(other, node[k]), np.maximum(other, node[k]), same[ok] - apart[ok]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b", "same"]) if found else None
+                a, b = node[k[ok]], node[to[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((same - apart)[ok])], ["a", "b", "same"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if held and (k or any(held[0].column(c)[0] != batch.column(c)[0] for c in keys)):
-                    if (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
-                        yield out
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held and (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            key = np.stack([rows.column(c).to_numpy() for c in keys], axis=1)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1])
+            if cuts[-1]:
+                yield from pairs(rows.slice(0, int(cuts[-1])), cuts)
+            held = [rows.slice(int(cuts[-1]))]
+        if held:
+            yield from pairs(held[0], np.array([0, held[0].num_rows]))
 
     return scan
 
@@ -288,12 +343,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     class of its own text. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(rows.mapInArrow(_sets, "doc_id long, n long, node long, m0 long, m1 long, keys binary, sketch binary"), "sets")
+    read = _sets(percent, _levels(rows))
+    sets = stored(rows.mapInArrow(read, "doc_id long, n long, node long, m0 long, m1 long, keys binary, sketch binary, prefix array<long>"), "sets")
     known = sets.filter("n > 0 and doc_id is not null")
     nodes = stored(known.groupBy("node").agg(F.min(F.struct("doc_id", "n", "m0", "m1", "keys", "sketch")).alias("s")).select("node", "s.*"), "nodes")
-    pairs, members = _candidates(nodes, percent)
-    part = _linked(rows, nodes, None, pairs, percent)
-    left = _left(members, nodes, part, percent)
+    part = _linked(rows, nodes, None, _candidates(nodes, percent), percent)
+    left = _left(_members(known), nodes, part, percent)
     if not left.isEmpty():
         part = _linked(rows, nodes, part, left, percent)
     rooted = nodes.join(part, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

@@ -111,6 +111,29 @@ def test_links_of_many_hubs_in_one_region_are_found(spark, monkeypatch, percent,
     assert got == want
 
 
+def test_links_without_a_common_run_of_minima_are_found(spark, monkeypatch):
+    # 4 of 5 shingles: about one pair in 5,600 shares no three leading minima in any tree
+    pairs = [[f"{k}w{j}" for j in range(9)] for k in range(40_000)]
+    rows = [(2 * k + side, " ".join(words[side:])) for k, words in enumerate(pairs) for side in (0, 1)]
+    monkeypatch.setattr(near_dup, "_neighbours", lambda percent: lambda batches: iter(()))  # the exact pass alone finds all
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_duplicates(docs, 80).filter("component_id <> doc_id - doc_id % 2").collect() == []
+
+
+def test_prefixes_of_similar_sets_meet_and_put_common_shingles_last():
+    rng = np.random.default_rng(4)
+    levels = rng.integers(0, 5, 1 << near_dup.BUCKET_BITS).astype(np.uint8)
+    for n in (1, 2, 5, 39, 40, 41, 300):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for percent in (80, 85, 100):
+            fewest = -(-n * percent // 100)  # of n shared ones, the last in order: the least that still link
+            last = one[np.lexsort((one, levels[near_dup._bucket(one)]))][n - fewest :]
+            got, start = near_dup.prefixes(np.concatenate([one, np.sort(last)]), np.array([0, n, n + fewest]), levels, percent)
+            assert np.intersect1d(got[: start[1]], got[start[1] :]).size
+            place = levels[near_dup._bucket(got[: start[1]])]
+            assert start[1] == n - fewest + 1 and place.max() <= np.sort(levels[near_dup._bucket(one)])[start[1] - 1]
+
+
 def test_sketches_differ_in_no_more_bits_than_sets_in_values():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)) for k in (1, 40, 0, 900)]
