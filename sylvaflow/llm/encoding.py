@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sylvaflow.llm.text import as_strings, offsets
+from sylvaflow.llm.text import Words, as_strings, offsets
 
 #: Bytes of the pieces whose ids a worker keeps; beyond it the store starts anew. Longer pieces aren't kept.
 CACHE_BYTES, LONGEST = 48 << 20, 1 << 10
@@ -37,16 +37,41 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    spans = Words(words, lower=False)
+    return spans.spans(spans.rows[:-1], spans.rows[1:])
+
+
 class _Pieces:
-    """Pieces of one kind (at a text's start, or after a space) and their ids' numbers in the store."""
+    """Pieces of one kind (at a text's start, or after a space) and their ids' numbers in the store.
 
-    def __init__(self) -> None:
-        self.names = pa.array([], pa.large_string())
-        self.number = np.zeros(0, np.int64)
+    They stand in runs sorted by hash, each over twice as long as the next, so a look-up searches few runs and an
+    addition seldom sorts a long one: neither goes over all pieces for each slice of text."""
 
-    def add(self, names: pa.Array, number: np.ndarray) -> None:
-        self.names = pa.concat_arrays([self.names, names])
-        self.number = np.concatenate([self.number, number])
+    def __init__(self) -> None:
+        self.runs: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+
+    def add(self, names: pa.Array, hashes: np.ndarray, number: np.ndarray) -> None:
+        run = (names, hashes, number)
+        while self.runs and len(self.runs[-1][1]) <= 2 * len(run[1]):
+            old = self.runs.pop()
+            run = (pa.concat_arrays([old[0], run[0]]), *(np.concatenate([x, y]) for x, y in zip(old[1:], run[1:])))
+        order = np.argsort(run[1], kind="stable")
+        self.runs.append((run[0].take(pa.array(order)), run[1][order], run[2][order]))
+
+    def find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words, -1 for unknown ones. Equal hashes count only with equal bytes."""
+        out = np.full(len(words), -1, np.int64)
+        for names, known, number in self.runs:
+            left = np.flatnonzero(out < 0)
+            if not len(left) or not len(known):
+                continue
+            place = np.minimum(np.searchsorted(known, hashes[left]), len(known) - 1)
+            hit = known[place] == hashes[left]
+            left, place = left[hit], place[hit]
+            equal = pc.equal(names.take(pa.array(place)), words.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            out[left[equal]] = number[place[equal]]
+        return out
 
 
 class Encoder:
@@ -118,18 +143,15 @@ class Encoder:
 
     def _numbers(self, words: pa.Array, kind: int) -> np.ndarray:
         """Store number of each of the distinct words, as pieces of a kind."""
-        have = self.kinds[kind]
-        place = pc.index_in(words, value_set=have.names)
-        fresh = place.is_null()
-        out = np.zeros(len(words), np.int64)
-        old = pc.invert(fresh).to_numpy(zero_copy_only=False)
-        out[old] = have.number[place.drop_null().to_numpy()]
-        new = words.filter(fresh)
-        if len(new):
-            number = out[~old] = self._learn(new, kind)
+        have, hashes = self.kinds[kind], _hashes(words)
+        out = have.find(words, hashes)
+        fresh = out < 0
+        if fresh.any():
+            new = words.filter(pa.array(fresh))
+            number = out[fresh] = self._learn(new, kind)
             short = pc.less_equal(pc.binary_length(new), LONGEST)
-            kept = new.filter(short)
-            have.add(kept, number[short.to_numpy(zero_copy_only=False)])
+            kept, mask = new.filter(short), short.to_numpy(zero_copy_only=False)
+            have.add(kept, hashes[fresh][mask], number[mask])
             self.held += kept.nbytes
         return out
 

@@ -13,7 +13,7 @@ import regex
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from sylvaflow.llm import decontaminate, html_text, near_dup, queries
+from sylvaflow.llm import decontaminate, encoding, html_text, near_dup, queries
 from sylvaflow.llm.decontaminate import leaks, without_leaks
 from sylvaflow.llm.html_text import host_of, main_text
 from sylvaflow.llm.licenses import aligned, license_scan
@@ -169,6 +169,17 @@ def test_a_segment_is_encoded_in_slices():
     assert sizes.tolist() == [len(t) % 7 + 1 for t in texts] and np.flatnonzero(ids == 0).tolist() == (np.cumsum(sizes) - 1).tolist()
 
 
+def test_known_pieces_are_found_in_few_sorted_runs():
+    pieces, hashed = encoding._Pieces(), lambda words: encoding._hashes(pa.array(words, pa.large_string()))
+    for k in range(200):
+        words = [f"w{k}-{j}é"[: 3 + j] + str(k) for j in range(k % 5)] + [f"x{k}\n"]
+        pieces.add(pa.array(words, pa.large_string()), hashed(words), 1000 * k + np.arange(len(words)))
+    assert len(pieces.runs) <= 9 and sum(len(r[1]) for r in pieces.runs) == 600
+    asked = ["x7\n", "x7", "w9-3é9", "", "x199\n"]
+    assert pieces.find(pa.array(asked, pa.large_string()), hashed(asked)).tolist() == [7002, -1, 9003, -1, 199_004]
+    assert pieces.find(pa.array(["other"], pa.large_string()), hashed(["x7\n"])).tolist() == [-1]  # equal hashes, other bytes
+
+
 def test_token_counts_and_blocks_are_the_librarys(spark, texts):
     from tokenizers import Tokenizer
 
