@@ -9,14 +9,14 @@ candidate is confirmed on the full sets before it links.
 This joins most sets cheaply and leaves pairs out; an exact pass finds the rest. All shingles are in one order, those
 that few texts hold before common ones. Sets of at least the similarity share one of the first
 n - ceil(n * percent / 100) + 1 shingles of each, their prefix. The sets whose prefixes hold a shingle are a region, of
-any size: each member outside the region's largest class is compared with all members of other classes, in blocks that
+any size, and regions with the same least and greatest member are one, since near copies share many shingles: each member outside the region's largest class is compared with all members of other classes, in blocks that
 are dealt over tasks. Of these pairs those are candidates whose sketches (parities of 64 * LANES classes of shingles)
 differ in no more bits than their sets may in shingles, which loses none. So no link is lost, but for what 64-bit
 numbers of shingles allow: sketches of sets over LONG shingles are full, so such pairs need `least_bits` equal one-bit
 minima besides, as all but one in 10**10 links have.
 
 A neighbour is only read in full if so many of the TREES * DEPTH one-bit minima agree as all but one in
-10**5 pairs at the threshold do: the expected number less six deviations, 53 of 72 at 0.85.
+10**5 pairs at the threshold do (the expected number less six deviations, 53 of 72 at 0.85), and if the sketches allow it.
 """
 
 from __future__ import annotations
@@ -217,20 +217,45 @@ def _confirm(percent: int):
     return check
 
 
+def _far_bits(percent: int, n: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of two sets at the threshold differ at most, n being the sum of their sizes."""
+    return (100 - percent) / (100 + percent) * n + 1e-9
+
+
+def _possible(percent: int):
+    """Those of pairs (a, b, same) whose sketches allow the similarity; same less the bits in which they differ."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("sketch_a", "sketch_b"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            ok = apart <= _far_bits(percent, batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
+            a, b, same = (batch.column(c).to_numpy()[ok] for c in ("a", "b", "same"))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same - apart[ok])], ["a", "b", "same"])
+
+    return check
+
+
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, same) of neighbours."""
+    """pairs (a, b, same) of neighbours whose sketches allow the similarity, so few texts go to be confirmed."""
     key = F.expr(f"transform(sequence(0, {TREES - 1}), t -> substring(keys, t * {4 * DEPTH} + 1, {4 * DEPTH}))")
     entries = nodes.select("node", "n", "m0", "m1", F.posexplode(key).alias("tree", "key"))
     order = entries.select("tree", "key", "node", "n", "m0", "m1").repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = order.mapInArrow(_neighbours(percent), "a long, b long, same long")
-    return stored(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+    found = order.mapInArrow(_neighbours(percent), "a long, b long, same long").groupBy("a", "b").agg(F.max("same").alias("same"))
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    return stored(found.join(of("a"), "a").join(of("b"), "b").mapInArrow(_possible(percent), "a long, b long, same long"), "pairs")
 
 
 def _members(known: DataFrame) -> DataFrame:
-    """(region, node) of every shingle that the prefixes of two different sets hold, and every set with it."""
-    placed = known.select(F.explode("prefix").alias("region"), "node")
-    shared = placed.groupBy("region").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    return stored(placed.join(small(stored(shared.select("region"), "regions")), "region").distinct(), "members")
+    """(region, node) of every shingle that the prefixes of two different sets hold, and every set with it. Shingles with
+    the same least and greatest set make one region with the sets of all: that adds pairs and leaves out none, and a
+    set's sketch goes to one region for all shingles that it shares with the same others."""
+    placed = known.select(F.explode("prefix").alias("shingle"), "node")
+    shared = placed.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    regions = stored(shared.select("shingle", F.xxhash64("least", "most").alias("region")), "regions")
+    return stored(placed.join(small(regions), "shingle").select("region", "node").distinct(), "members")
 
 
 def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,7 +271,7 @@ def _joined(part: DataFrame, links: DataFrame) -> DataFrame:
 def _meet(percent: int):
     """Pairs of each run of (region, i, j): its members outside the largest class (first in it) with those of other
     classes, of sizes, bits and sketches that allow the similarity. Runs are met together, STEP pairs at a time."""
-    keys, least, share = ("region", "i", "j"), least_bits(percent, 8), (100 - percent) / (100 + percent)
+    keys, least = ("region", "i", "j"), least_bits(percent, 8)
 
     def pairs(runs: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         kind, node, root, n = (runs.column(c).to_numpy() for c in ("kind", "node", "root", "n"))
@@ -269,7 +294,7 @@ def _meet(percent: int):
             k, to, small = k[ok], to[ok], small[ok]
             same = TREES * DEPTH - np.bitwise_count((marks[k] ^ marks[to]).view(np.uint64)).sum(1, dtype=np.int64)
             apart = np.bitwise_count(sketch[k] ^ sketch[to]).sum(1, dtype=np.int64)
-            ok = (apart <= share * (n[k] + n[to]) + 1e-9) & ((same >= least) | (small <= LONG))
+            ok = (apart <= _far_bits(percent, n[k] + n[to])) & ((same >= least) | (small <= LONG))
             if ok.any():
                 a, b = node[k[ok]], node[to[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array((same - apart)[ok])], ["a", "b", "same"])

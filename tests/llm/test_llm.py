@@ -145,6 +145,37 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_values():
             assert np.bitwise_count(x ^ y).sum() <= apart and (apart > 40 or np.bitwise_count(x ^ y).sum() >= apart - 8)
 
 
+def test_shingles_with_the_same_ends_are_one_region_and_no_pair_is_lost(spark):
+    rng = np.random.default_rng(8)
+    held = {node: {*rng.choice(150, 8, False).tolist()} for node in range(-40, 40)}
+    held |= {node: held[node - 1000] | {*range(1000, 1400)} for node in (1000, 1001, 1002)}  # near copies share 400
+    known = spark.createDataFrame([(node, sorted(x)) for node, x in held.items() for _ in range(2)], "node long, prefix array<long>")
+    rows = near_dup._members(known).collect()
+    regions = defaultdict(set)
+    for r in rows:
+        regions[r.region].add(r.node)
+    met = {(a, b) for x in regions.values() for a in x for b in x}
+    assert {(a, b) for a in held for b in held if a != b and held[a] & held[b]} <= met
+    assert len(rows) == sum(map(len, regions.values())) < 1000  # 3 x 400 for the copies alone before
+
+
+def test_neighbours_that_sketches_refute_are_not_read(spark, monkeypatch):
+    rows, seen, real = [], [], near_dup._linked
+    for k in range(40):  # 376 of 396 shingles in common, and 296 of 496
+        words = [f"{k}w{j}" for j in range(400)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:380])), (3 * k + 2, " ".join(words[:300] + [f"{k}x{j}" for j in range(100)]))]
+
+    def linked(docs, nodes, part, pairs, percent):
+        of = {r.node: r.doc_id for r in nodes.collect()}
+        seen.append(sorted(tuple(sorted((of[r.a], of[r.b]))) for r in pairs.collect()))
+        return real(docs, nodes, part, pairs, percent)
+
+    monkeypatch.setattr(near_dup, "_linked", linked)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == {i: i - (i % 3 == 1) for i, _ in rows}
+    assert seen == [[(3 * k, 3 * k + 1) for k in range(40)]]
+
+
 def test_rows_that_repeat_an_id_keep_their_own_classes(spark):
     base = [f"w{k}" for k in range(120)]
     x, y = list(base), [f"v{k}" for k in range(120)]
