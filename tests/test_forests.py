@@ -85,3 +85,12 @@ def test_jobs_do_not_grow_with_depth_or_trees(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{trees}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+def test_selection_finds_thresholds_once_and_writes_each_run_once(spark, monkeypatch):
+    asked, written, real, write = [], [], forests.thresholds, forests.written
+    monkeypatch.setattr(forests, "thresholds", lambda path, session, names: asked.append(names) or real(path, session, names))
+    monkeypatch.setattr(forests, "written", lambda frame, name: written.append(name) or write(frame, name))
+    found = learning.select_by_shadows(planted(spark, 300), ["f0", "f1", "f5"], "y", "id", runs=3, trees=10, depth=4)
+    assert asked == [["f0", "f1", "f5"]] and written == ["values", *["binned", "trees"] * 3]
+    assert {c for c, _, _ in found} == {"f0", "f1", "f5"}
