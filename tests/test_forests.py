@@ -94,3 +94,14 @@ def test_selection_finds_thresholds_once_and_writes_each_run_once(spark, monkeyp
     found = learning.select_by_shadows(planted(spark, 300), ["f0", "f1", "f5"], "y", "id", runs=3, trees=10, depth=4)
     assert asked == [["f0", "f1", "f5"]] and written == ["values", *["binned", "trees"] * 3]
     assert {c for c, _, _ in found} == {"f0", "f1", "f5"}
+
+
+def test_trees_lie_in_a_table_and_rows_read_again_grow_the_same_ones(spark, monkeypatch):
+    names, found = [f"f{k}" for k in range(6)], []
+    rows = planted(spark, 400).coalesce(1)
+    cuts = {c: [k / 32 for k in range(1, 32)] for c in names}
+    for held in (forests.HELD, 0):  # rows that a task keeps, and rows read again for each level
+        monkeypatch.setattr(forests, "HELD", held)
+        model = learning._fit(rows, names, "y", 8, 3, 1, False, cuts, ["a", "b", "c"])
+        found.append({r.tree: (bytes(r.feature), bytes(r.cut), bytes(r.left)) for r in spark.read.parquet(model.path).collect()})
+    assert len(found[0]) == 8 and found[0] == found[1]
